@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from streamtable.llm import quality_rules
+from streamtable.llm import hilbert, line_dedup, mixing, quality_rules
 from streamtable.llm.common import documents
 
 
@@ -14,9 +14,27 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.digest(documents(spark, sf_dir))
 
 
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.digest(documents(spark, sf_dir))
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(documents(spark, sf_dir))
+
+
+def op10_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert.digest(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_source_mixing": op2_source_mixing,
+    "op4_line_dedup": op4_line_dedup,
+    "op10_hilbert_sharding": op10_hilbert_sharding,
 }
 ORACLES: dict[str, str] = {
     "op1_quality_rules": quality_rules.oracle(),
+    "op2_source_mixing": mixing.oracle(),
+    "op4_line_dedup": line_dedup.oracle(),
+    "op10_hilbert_sharding": hilbert.oracle(),
 }
