@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,3 +80,20 @@ def ascii_lower(text: Column) -> Column:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+_shipped: set[str] = set()
+
+
+def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
+    """df.mapInArrow, with this package sent to the executors first, once an application."""
+    context = df.sparkSession.sparkContext
+    if context.applicationId not in _shipped:
+        package = Path(__file__).resolve().parent.parent
+        folder = tempfile.mkdtemp(prefix="streamtable-code-")
+        with zipfile.ZipFile(path := os.path.join(folder, f"{package.name}.zip"), "w") as z:
+            for file in sorted(package.rglob("*.py")):
+                z.write(file, file.relative_to(package.parent))
+        context.addPyFile(path)
+        _shipped.add(context.applicationId)
+    return df.mapInArrow(function, schema)

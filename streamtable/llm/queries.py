@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from streamtable.llm import hilbert, line_dedup, mixing, quality_rules
+from streamtable.llm import hilbert, line_dedup, mixing, packing, quality_rules, rans
 from streamtable.llm.common import documents
 
 
@@ -22,6 +22,14 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(documents(spark, sf_dir))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digest(documents(spark, sf_dir))
+
+
+def op7_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rans.digest(documents(spark, sf_dir))
+
+
 def op10_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert.digest(documents(spark, sf_dir))
 
@@ -30,6 +38,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_source_mixing": op2_source_mixing,
     "op4_line_dedup": op4_line_dedup,
+    "op6_packing": op6_packing,
+    "op7_rans_tokens": op7_rans_tokens,
     "op10_hilbert_sharding": op10_hilbert_sharding,
 }
 ORACLES: dict[str, str] = {
