@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from streamtable.llm import hilbert, line_dedup, mixing, packing, quality_rules, rans
+from streamtable.llm import hilbert, line_dedup, mixing, packing, quality_rules, rans, simhash
 from streamtable.llm.common import documents
 
 
@@ -30,6 +30,10 @@ def op7_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.digest(documents(spark, sf_dir))
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.digest(documents(spark, sf_dir))
+
+
 def op10_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert.digest(documents(spark, sf_dir))
 
@@ -40,6 +44,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_line_dedup": op4_line_dedup,
     "op6_packing": op6_packing,
     "op7_rans_tokens": op7_rans_tokens,
+    "op8_simhash": op8_simhash,
     "op10_hilbert_sharding": op10_hilbert_sharding,
 }
 ORACLES: dict[str, str] = {
