@@ -105,7 +105,8 @@ def dropped_places(docs: DataFrame, root: str, batches: int = BATCHES, min_docs:
     state = LineRuns(spark, f"{root}/runs")
     for k in range(batches):
         state.ingest(lines.where(F.col("batch") == k))
-    hot = state.totals().where(F.col("n_docs") >= min_docs).select("h1", "h2", "keeper")
+    # Staged, so that both sides of the join are plain exchanges and a hot line's rows can be split among tasks.
+    hot = stage(state.totals().where(F.col("n_docs") >= min_docs).select("h1", "h2", "keeper"), f"{root}/hot")
     found = lines.join(hot, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     return found.groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("places"))
 
