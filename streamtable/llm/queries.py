@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from streamtable.llm import hilbert, line_dedup, mixing, packing, quality_rules, rans, simhash
+from streamtable.llm import hilbert, html_text, line_dedup, media, mixing, packing, quality_rules, rans, simhash, toxicity
 from streamtable.llm.common import documents
 
 
@@ -18,10 +18,18 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(documents(spark, sf_dir))
 
 
+def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digest(documents(spark, sf_dir))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(documents(spark, sf_dir))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.digest(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(documents(spark, sf_dir))
 
@@ -34,6 +42,10 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(documents(spark, sf_dir))
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op10_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert.digest(documents(spark, sf_dir))
 
@@ -41,10 +53,13 @@ def op10_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_source_mixing": op2_source_mixing,
+    "op3_media_columns": op3_media_columns,
     "op4_line_dedup": op4_line_dedup,
+    "op5_toxicity": op5_toxicity,
     "op6_packing": op6_packing,
     "op7_rans_tokens": op7_rans_tokens,
     "op8_simhash": op8_simhash,
+    "op9_html_text": op9_html_text,
     "op10_hilbert_sharding": op10_hilbert_sharding,
 }
 ORACLES: dict[str, str] = {
