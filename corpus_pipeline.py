@@ -2,26 +2,45 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-from streamtable.llm import quality_rules
+from streamtable.llm import line_dedup, mixing, packing, quality_rules, simhash
 from streamtable.llm.common import stage, work_dir
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the current policy."""
     return quality_rules.keep(docs)
 
 
-STAGES = [("quality_rules", quality)]
-#: SQL can't express the near-duplicate stage's XXH64 fingerprints.
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that at least three of them share, but in the last one; emptied documents go."""
+    return line_dedup.clean(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, by shingles of five words."""
+    return simhash.keep_one(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its source's target asks for; repeated documents are repeated rows."""
+    return mixing.mix(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of token sequences, with their places."""
+    return packing.digest(docs)
+
+
+STAGES = [("quality_rules", quality), ("line_dedup", lines), ("near_dedup", near_duplicates), ("source_mixing", mix), ("packing", pack)]
+#: SQL can't express the near-duplicate stage's XXH64 fingerprints or the tokens of the packing stage.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written and reread, so that a lost executor repeats one stage at most."""
-    root = work_dir(spark, f"pipeline-{uuid.uuid4().hex[:8]}")
+    root = work_dir(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, apply) in enumerate(STAGES):
         docs = apply(spark, docs, sf_dir)
