@@ -1 +1 @@
-
+"""SQL functions that Spark lacks."""

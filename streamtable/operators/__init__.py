@@ -1 +1 @@
-
+"""Relational and tensor operators on DataFrames."""

@@ -1 +1 @@
-
+"""Live reading of topics."""
