@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from streamtable.errors import StreamtableError, TableKindError, TableNotFound
 from streamtable.frame import Frame
+from streamtable.functions import scalar
 from streamtable.plans import statements
 from streamtable.plans.registry import DEFAULT_CATALOG, DEFAULT_SCHEMA, Registry
 from streamtable.sources.store import Store
@@ -115,6 +116,7 @@ class Datastore:
         # Views are bound here, out of the way of the caller's own.
         self.session = spark.newSession()
         self.session.conf.set("spark.sql.session.timeZone", "UTC")
+        scalar.register(self.session)
         self.registry = registry or Registry(store)
         self.catalog, self.schema = catalog, schema
         if registry is None:

@@ -17,6 +17,8 @@ if TYPE_CHECKING:
 
 #: Strings and comments are passed over; what is left are names of one or more parts, and single characters.
 _TOKEN = re.compile(r"(?P<skip>'(?:[^'\\]|\\.|'')*'|--[^\n]*|/\*.*?\*/|\"[^\"]*\"(?!\s*\.))|(?P<name>(?:`[^`]+`|[^\W\d]\w*)(?:\s*\.\s*(?:`[^`]+`|[^\W\d]\w*))*)|.", re.S)
+#: What comes before an alias.
+_ALIASED = re.compile(r"\bAS\s+\Z", re.I)
 INFORMATION = ("tables", "columns", "views", "schemata", "df_settings")
 
 
@@ -43,7 +45,7 @@ def tables_in(registry: Registry, sql: str, catalog: str, schema: str) -> Iterat
     """(table, the session's name for it) for each table that a query may name."""
     seen = set()
     for m in _TOKEN.finditer(sql):
-        if m["name"] and (found := _found(registry, _parts(m["name"]), catalog, schema)) and (key := (found[0], _bound_name(*found))) not in seen:
+        if m["name"] and not _ALIASED.search(sql, 0, m.start()) and (found := _found(registry, _parts(m["name"]), catalog, schema)) and (key := (found[0], _bound_name(*found))) not in seen:
             seen.add(key)
             yield found[0], f"`{key[1]}`"
 
@@ -60,7 +62,7 @@ def bound(registry: Registry, sql: str, catalog: str, schema: str) -> str:
     """The query with names of several parts as the single names that they are bound to, each under its last part as alias."""
 
     def put(m: re.Match) -> str:
-        if not m["name"]:
+        if not m["name"] or _ALIASED.search(sql, 0, m.start()):
             return m[0]
         parts = _parts(m["name"])
         found = _found(registry, parts, catalog, schema)
