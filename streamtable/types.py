@@ -200,10 +200,11 @@ def spark_value(c: Column, value):
         value = value.item() if isinstance(value, np.generic) else value
         if c.dtype is duration and hasattr(value, "total_seconds"):
             return round(value.total_seconds() * 1e9)
-        return value
+        return float(value) if c.dtype.kind == "float" else value
     flat = np.asarray(value)
     if flat.shape != c.row_shape:
         raise DataTypeError(f"{c.name} has rows of shape {c.row_shape}, not {flat.shape}")
+    flat = flat.astype(float) if c.dtype.kind == "float" else flat
     if isinstance(value, np.ma.MaskedArray):
         return [None if m else x for x, m in zip(flat.ravel().tolist(), np.ma.getmaskarray(value).ravel().tolist())]
     return flat.ravel().tolist()
