@@ -1,8 +1,9 @@
 """Token ids of whole texts, by the tokenizers library.
 
-The vocabulary's tokenizer drops white space, so a text's ids are its words' ids one after another. Words are split and numbered
-by Arrow, each distinct word is encoded once and remembered, and ids are gathered by numpy. Words of common letters go through
-the library's own model piece by piece; any other word is encoded whole by the library, so ids are always the library's.
+The vocabulary's tokenizer drops white space, so a text's ids are its words' ids one after another. Arrow splits texts into words
+and numbers them; distinct words of common letters are split into the pieces of the vocabulary's pattern, also by Arrow, and each
+distinct piece goes once through the library's own model and is remembered. Any other word is encoded whole by the library, so
+ids are always the library's. Numpy puts the ids together.
 """
 
 from __future__ import annotations
@@ -15,12 +16,17 @@ import pyarrow.compute as pc
 
 END_ID = 1
 #: Texts are taken in slices of about so many bytes, so that memory doesn't follow the batch.
-SLICE_BYTES = 4 << 20
-#: Remembered words before all are forgotten; about 150 bytes each.
-CACHE_WORDS = 400_000
-#: Lower-case words of these characters are the same under NFC, and their pieces are found by the vocabulary's own pattern.
-PLAIN = r"[\x21-\x3b\x3d-\x7eÀ-ɏ]+"
-PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+SLICE_BYTES = 8 << 20
+#: Remembered pieces before all are forgotten; about 50 bytes each.
+CACHE_PIECES = 1_000_000
+#: Words of these characters are the same under NFC, and lower-case letter by letter.
+PLAIN = r"^[\x21-\x3b\x3d-\x7e\x{C0}-\x{12F}\x{131}-\x{24F}]*$"
+#: The vocabulary's own pattern.
+PIECE = r"('s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+)"
+
+#: Lower-case words without digits and apostrophes: their pieces are the runs of letters and those of other characters.
+SIMPLE = r"^[\x21-\x26\x28-\x2f\x3a\x3b\x3d-\x40\x5b-\x7e\x{DF}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{24F}]*$"
+SIGNS = r"([\x21-\x26\x28-\x2f\x3a-\x40\x5b-\x60\x7b-\x7e]+)"
 
 
 def default_vocabulary() -> str:
@@ -37,7 +43,7 @@ def _byte_letters() -> dict[int, str]:
 
 
 class Encoder:
-    """Ids of many texts at once. One lives in each Python worker, with the words it has met."""
+    """Ids of many texts at once. One lives in each Python worker, with the pieces it has met."""
 
     _own: dict[str, "Encoder"] = {}
 
@@ -49,77 +55,90 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.plain, self.piece = regex.compile(PLAIN), regex.compile(PIECE)
         self.letters = _byte_letters()
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {"": 0}
-        self.pieces: dict[str, list[int]] = {}
+        self.known = pa.array([""], pa.large_string())
         self.ids = np.zeros(1 << 16, np.uint16)
         self.at = np.zeros(1 << 16, np.int64)
         self.size = np.zeros(1 << 16, np.int32)
         self.used = 0
 
-    def _word(self, word: str) -> list[int]:
-        low = word.lower()
-        if not self.plain.fullmatch(low):
-            return self.tokenizer.encode(word, add_special_tokens=False).ids
-        out: list[int] = []
-        for piece in self.piece.findall(low):
-            ids = self.pieces.get(piece)
-            if ids is None:
-                text = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
-                ids = self.pieces[piece] = [t.id for t in self.model.tokenize(text)]
-            out += ids
-        return out
+    def _piece(self, piece: str) -> list[int]:
+        text = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+        return [t.id for t in self.model.tokenize(text)]
+
+    def _whole(self, word: str) -> list[int]:
+        return self.tokenizer.encode(word, add_special_tokens=False).ids
 
-    def _learn(self, words: list[str]) -> np.ndarray:
-        """The number of each word in the memory."""
-        if len(self.known) + len(words) > CACHE_WORDS:
+    def _numbers(self, parts: pa.Array) -> np.ndarray:
+        """The number of each distinct piece in the memory. A word that is no piece is one with a line feed before it."""
+        if len(self.known) + len(parts) > CACHE_PIECES:
             self._forget()
-        known, out, new = self.known, np.empty(len(words), np.int64), []
-        for k, w in enumerate(words):
-            n = known.get(w, -1)
-            if n < 0:
-                n = known[w] = len(known)
-                new.append(self._word(w))
-            out[k] = n
-        if new:
-            n, sizes = len(known), np.fromiter(map(len, new), np.int32, len(new))
-            flat = np.fromiter((x for ids in new for x in ids), np.uint16, int(sizes.sum()))
+        found = pc.index_in(parts, value_set=self.known)
+        new = parts.filter(pc.is_null(found))
+        out = np.array(pc.fill_null(found, -1))
+        if len(new):
+            ids = [self._whole(x[1:]) if x[0] == "\n" else self._piece(x) for x in new.to_pylist()]
+            sizes = np.fromiter(map(len, ids), np.int32, len(ids))
+            flat = np.fromiter((x for part in ids for x in part), np.uint16, int(sizes.sum()))
+            start, n = len(self.known), len(self.known) + len(new)
+            self.known = pa.concat_arrays([self.known, new])
             self.ids, self.at, self.size = (_room(a, m) for a, m in ((self.ids, self.used + len(flat)), (self.at, n), (self.size, n)))
             self.ids[self.used : self.used + len(flat)] = flat
-            self.size[n - len(new) : n] = sizes
-            self.at[n - len(new) : n] = self.used + np.cumsum(sizes) - sizes
+            self.size[start:n] = sizes
+            self.at[start:n] = self.used + np.cumsum(sizes) - sizes
             self.used += len(flat)
+            out[out < 0] = np.arange(start, n)
         return out
 
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, starts) of distinct words, with the end."""
+        plain = pc.match_substring_regex(words, PLAIN)
+        low = pc.utf8_lower(words)
+        simple = pc.match_substring_regex(low, SIMPLE)
+        spaced = pc.replace_with_mask(pc.replace_substring_regex(low, SIGNS, r" \1 "), pc.invert(simple), pc.replace_substring_regex(low.filter(pc.invert(simple)), PIECE, r"\1 "))
+        # The others are kept whole; a line feed is in no word.
+        spaced = pc.if_else(plain, spaced, pc.binary_join_element_wise(pa.scalar("", pa.large_string()), words, pa.scalar("\n", pa.large_string())))
+        parts = pc.split_pattern(spaced, " ")
+        bounds = np.asarray(parts.offsets) - parts.offsets[0].as_py()
+        coded = parts.flatten().dictionary_encode()
+        numbers = self._numbers(coded.dictionary)[np.asarray(coded.indices)]
+        sizes = self.size[numbers]
+        upto = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+        return self.ids[_runs(self.at[numbers], sizes, upto)], upto[bounds]
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, starts): all ids of the texts, each text's with the end id behind, and where each text starts, with the end."""
         words = pc.ascii_split_whitespace(pc.fill_null(texts, "").cast(pa.large_string()))
         bounds = np.asarray(words.offsets) - words.offsets[0].as_py()
         coded = words.flatten().dictionary_encode()
-        numbers = self._learn(coded.dictionary.to_pylist())[np.asarray(coded.indices)] if len(coded) else np.zeros(0, np.int64)
-        sizes, at = self.size[numbers], self.at[numbers]
-        upto = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
         n_texts = len(texts)
+        if len(coded):
+            word_ids, word_at = self._words(coded.dictionary)
+            codes = np.asarray(coded.indices)
+            sizes, at = np.diff(word_at)[codes], word_at[codes]
+        else:
+            word_ids, sizes, at = np.zeros(0, np.uint16), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        upto = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
         starts = upto[bounds] + np.arange(n_texts + 1)
-        ids = np.empty(int(starts[-1]), np.uint16)
+        ids = np.full(int(starts[-1]), END_ID, np.uint16)
         is_id = np.ones(len(ids), bool)
         is_id[starts[1:] - 1] = False
-        # Each id's place in memory: its word's place there and how far into the word it is.
-        source = np.arange(int(upto[-1])) + np.repeat(at - upto[:-1], sizes)
-        ids[is_id] = self.ids[source]
-        ids[~is_id] = END_ID
+        ids[is_id] = word_ids[_runs(at, sizes, upto)]
         return ids, starts
 
 
+def _runs(at: np.ndarray, sizes: np.ndarray, upto: np.ndarray) -> np.ndarray:
+    """The places at, at + 1, ... of each run, all in a row."""
+    return np.arange(int(upto[-1])) + np.repeat(at - upto[:-1], sizes)
+
+
 def _room(a: np.ndarray, n: int) -> np.ndarray:
     if n <= len(a):
         return a
