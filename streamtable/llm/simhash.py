@@ -316,4 +316,5 @@ def keep_one(docs: DataFrame, words: int = 5) -> DataFrame:
     """docs without the near-duplicates: of each component the rows with its smallest id. Documents without words stay."""
     found = classified(docs, words).where(F.col("component_id").isNotNull() & (F.col("doc_id") != F.col("component_id")) & (F.col("fp") != 0))
     gone = found.select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_id"), "left_anti").select(docs.columns)
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("d"))
+    return packed.join(gone, F.col("d.doc_id") == F.col("_id"), "left_anti").select("d.*")

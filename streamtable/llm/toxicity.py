@@ -138,7 +138,7 @@ def sample(docs: DataFrame, labels: DataFrame, most: int = MAX_ROWS) -> list[tup
         ids = own if ids is None else ids.unionByName(own)
     # 2 * most rows of three numbers.
     ids = ids.select(F.col("doc_id").alias("_id"), "y", "draw")
-    rows = docs.where(F.length("text") <= MAX_CHARS).join(F.broadcast(ids), F.col("doc_id") == F.col("_id"))
+    rows = docs.select("doc_id", "text").where(F.length("text") <= MAX_CHARS).join(F.broadcast(ids), F.col("doc_id") == F.col("_id"))
     rows = rows.select("text", "y", "draw").orderBy("draw", "text").limit(2 * most)
     return [(r.text, int(r.y)) for r in rows.collect()]
 
