@@ -53,21 +53,30 @@ def _split_lower(text: str) -> list[bytes]:
     return text.encode().translate(_LOWER).split()
 
 
-def fingerprint(text: str | None, words: int) -> int:
-    """The fingerprint of one text."""
+def _shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """XXH64 of each shingle, repeats included."""
     # bytes.split() splits at ASCII white space alone, the contract's six characters.
     w = _split_lower(text or "")
     if not w:
-        return 0
+        return np.zeros(0, np.uint64)
     n = max(1, len(w) - words + 1)
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(b" ".join(w[k : k + words]), SEED) for k in range(n)), np.uint64, n)
-    ones = np.zeros(BITS, np.int64)
+    return np.fromiter((digest(b" ".join(w[k : k + words]), SEED) for k in range(n)), np.uint64, n)
+
+
+def _fold(h: np.ndarray) -> int:
+    """The bits that are set in over half the hashes."""
+    ones, n = np.zeros(BITS, np.int64), len(h)
     for k in range(0, n, 1 << 16):  # bounds the bit table of a long text
         ones += np.unpackbits(h[k : k + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None, words: int) -> int:
+    """The fingerprint of one text; 0 without words."""
+    return _fold(_shingle_hashes(text, words))
+
+
 def fingerprints(docs: DataFrame, words: int, *carried: str) -> DataFrame:
     """doc_id, fp (the fingerprint as a signed long) and the carried columns."""
 
@@ -114,43 +123,51 @@ def pivot_table(fps: np.ndarray, refs: np.ndarray) -> np.ndarray:
     return np.bitwise_count(fps[None, :] ^ refs[:, None]).astype(np.int8)
 
 
-def _linked(fps: np.ndarray, table: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+def _linked(fps: np.ndarray, table: np.ndarray, i: np.ndarray, j: np.ndarray, distance: int = DISTANCE) -> np.ndarray:
     """Which of the pairs are links: by maximum coordinate difference one pivot after the other, then by their distance."""
     live = np.arange(len(i))
     for row in table:
         if not len(live):
             break
-        live = live[np.abs(row[i[live]] - row[j[live]]) <= DISTANCE]
-    return live[np.bitwise_count(fps[i[live]] ^ fps[j[live]]) <= DISTANCE]
+        live = live[np.abs(row[i[live]] - row[j[live]]) <= distance]
+    return live[np.bitwise_count(fps[i[live]] ^ fps[j[live]]) <= distance]
 
 
-def _forest(fps: np.ndarray, table: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of the links within one bucket, as places in it."""
+def _forest(table: np.ndarray, distance: int, linked) -> list[tuple[int, int]]:
+    """A spanning forest of the links within one bucket, as places in it. linked(i, j): which of the pairs are links.
+
+    A row is only compared with rows that aren't connected with it yet, so a dense bucket is done after a few rows.
+    """
     order = np.argsort(table[0], kind="stable")
     first, n = table[0][order].astype(np.int64), len(order)
-    root = np.arange(n)
-
-    def top(k: int) -> int:
-        while root[k] != k:
-            root[k] = root[root[k]]
-            k = root[k]
-        return k
-
+    label = np.arange(n)
     out = []
     for k in range(n):
-        end = int(np.searchsorted(first, first[k] + DISTANCE, "right"))
+        end = int(np.searchsorted(first, first[k] + distance, "right"))
         others = np.arange(k + 1, end)
-        for x in others[_linked(fps, table, np.full(len(others), order[k]), order[others])]:
-            a, b = top(k), top(int(x))
-            if a != b:
-                root[max(a, b)] = min(a, b)
-                out.append((int(order[k]), int(order[x])))
+        others = others[label[others] != label[k]]
+        if not len(others):
+            continue
+        found = others[linked(np.full(len(others), order[k]), order[others])]
+        for x in found[np.unique(label[found], return_index=True)[1]].tolist():
+            label[label == label[x]] = label[k]
+            out.append((int(order[k]), int(order[x])))
     return out
 
 
-def links_in_order(bucket: np.ndarray, fps: np.ndarray, refs: np.ndarray, small: int = 32) -> np.ndarray:
-    """Links (two columns of fingerprints) within buckets; equal numbers in `bucket` lie together."""
+def links_in_order(bucket: np.ndarray, fps: np.ndarray, refs: np.ndarray, small: int = 32, distance: int = DISTANCE, signatures: np.ndarray | None = None) -> np.ndarray:
+    """Links (two columns of places) within buckets; equal numbers in `bucket` lie together.
+
+    With signatures (a row for each fingerprint) linked rows must also agree in AGREE of their bytes.
+    """
     table = pivot_table(fps, refs)
+
+    def linked(i: np.ndarray, j: np.ndarray, shift: int = 0) -> np.ndarray:
+        live = _linked(fps, table, i + shift, j + shift, distance)
+        if signatures is not None:
+            live = live[(signatures[i[live] + shift] == signatures[j[live] + shift]).sum(1) >= AGREE]
+        return live
+
     starts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
     sizes = np.diff(np.concatenate((starts, [len(bucket)])))
     of_row = np.repeat(sizes, sizes)
@@ -160,46 +177,49 @@ def links_in_order(bucket: np.ndarray, fps: np.ndarray, refs: np.ndarray, small:
     step = 1
     while len(rows):
         rows = rows[rows + step < ends[rows]]
-        found = rows[_linked(fps, table, rows, rows + step)]
+        found = rows[linked(rows, rows + step)]
         if len(found):
-            out.append(np.stack([fps[found], fps[found + step]]))
+            out.append(np.stack([found, found + step]))
         step += 1
     for s, n in zip(starts[sizes > small].tolist(), sizes[sizes > small].tolist()):
-        pairs = _forest(fps[s : s + n], table[:, s : s + n])
+        pairs = _forest(table[:, s : s + n], distance, lambda i, j, s=s: linked(i, j, s))
         if pairs:
-            a, b = np.array(pairs).T + s
-            out.append(np.stack([fps[a], fps[b]]))
-    return np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.uint64)
+            out.append(np.array(pairs).T + s)
+    return np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
 
 
-def bucket_links(rows: DataFrame, *key: str) -> DataFrame:
-    """(u, v) from rows of (fp, *key). A bucket has CROWD rows at most: it is held in memory, others in batches."""
-    n_pivots = PIVOTS
+def bucket_links(rows: DataFrame, *key: str, node: str = "fp", distance: int = DISTANCE, signature: str | None = None) -> DataFrame:
+    """(u, v), pairs of nodes, from rows of (node, fp, *key). A bucket has CROWD rows at most: it is held in memory, others in batches."""
+    n_pivots, columns = PIVOTS, list(dict.fromkeys([*key, node, "fp", *([signature] if signature else [])]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         refs, held = pivots(n_pivots), None
 
-        def links(t: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
-            *keys, fps = t
-            if len(fps):
+        def links(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            if t.num_rows:
+                keys = [np.asarray(t.column(c)) for c in key]
                 new = np.any([np.concatenate(([True], k[1:] != k[:-1])) for k in keys], axis=0)
-                u, v = links_in_order(np.cumsum(new), fps.view(np.uint64), refs).view(np.int64)
-                if len(u):
-                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+                marks = np.frombuffer(b"".join(t.column(signature).to_pylist()), np.uint8).reshape(t.num_rows, -1) if signature else None
+                i, j = links_in_order(np.cumsum(new), np.asarray(t.column("fp")).view(np.uint64), refs, distance=distance, signatures=marks)
+                if len(i):
+                    nodes = np.asarray(t.column(node))
+                    yield pa.RecordBatch.from_arrays([pa.array(nodes[i]), pa.array(nodes[j])], names=["u", "v"])
 
         for batch in batches:
-            now = tuple(np.asarray(batch.column(c)) for c in (*key, "fp"))
-            if held is not None:
-                now = tuple(np.concatenate(x) for x in zip(held, now))
+            now = pa.Table.from_batches([batch])
+            if held is not None and held.num_rows:
+                now = pa.concat_tables([held, now])
+            if not now.num_rows:
+                continue
             # The last bucket may go on in the next batch.
-            last = np.all([k == k[-1] for k in now[:-1]], axis=0) if len(now[-1]) else np.zeros(0, bool)
-            cut = int(np.argmax(last)) if len(last) else 0
-            yield from links(tuple(x[:cut] for x in now))
-            held = tuple(x[cut:] for x in now)
+            last = np.all([(k := np.asarray(now.column(c))) == k[-1] for c in key], axis=0)
+            cut = int(np.argmax(last))
+            yield from links(now.slice(0, cut))
+            held = now.slice(cut)
         if held is not None:
             yield from links(held)
 
-    rows = rows.select(*key, "fp").repartition(*key).sortWithinPartitions(*key)
+    rows = rows.select(*columns).repartition(*key).sortWithinPartitions(*key)
     return map_arrow(rows, run, "u bigint, v bigint")
 
 
@@ -312,9 +332,90 @@ def digest(docs: DataFrame) -> DataFrame:
     return classified(docs, words=4).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = 5) -> DataFrame:
-    """docs without the near-duplicates: of each component the rows with its smallest id. Documents without words stay."""
-    found = classified(docs, words).where(F.col("component_id").isNotNull() & (F.col("doc_id") != F.col("component_id")) & (F.col("fp") != 0))
-    gone = found.select(F.col("doc_id").alias("_id")).distinct()
+# Near copies by similarity. A few bits of difference are a close copy; texts whose shingles agree by 0.8 differ in up to 13 of 64
+# bits, for which no dealing out by equal bits is selective. Here buckets come from the smallest shingle hashes instead.
+
+SHINGLE = 5
+SIMILARITY = 0.8
+#: Smallest hashes under so many multipliers; one byte of each is kept as the signature.
+HASHES = 128
+#: Three of them make a bucket's key: of two texts with a similarity of 0.8, all but 2 in 10,000 share one of twelve.
+BANDS, PER_BAND = 12, 3
+#: Bytes of two signatures that must agree: 0.8 less one standard error of the estimate, and what agrees by chance.
+AGREE = 98
+#: Bits that fingerprints may differ in, well beyond what a similarity of 0.8 gives.
+FAR = 20
+
+
+def _multipliers() -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(f"multiplier {k}", SEED) | 1 for k in range(HASHES)], np.uint64)
+
+
+def sketches(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
+    """doc_id, node (a hash of the words), fp, signature and bands, for documents that have words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        factors = _multipliers()
+        for batch in batches:
+            ids, nodes, fps, marks, bands = [], [], [], [], []
+            for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+                h = _shingle_hashes(text.as_py(), words)
+                if not len(h):
+                    continue
+                least = np.full(HASHES, np.iinfo(np.uint64).max, np.uint64)
+                for k in range(0, len(h), 1024):
+                    least = np.minimum(least, (h[k : k + 1024, None] * factors).min(0))
+                ids.append(i)
+                nodes.append(xxhash.xxh64_intdigest(h.tobytes()))
+                fps.append(_fold(h))
+                marks.append(least.astype(np.uint8).tobytes())
+                raw = least[: BANDS * PER_BAND].astype("<u8").tobytes()
+                bands.append([xxhash.xxh64_intdigest(raw[b * 8 * PER_BAND : (b + 1) * 8 * PER_BAND]) for b in range(BANDS)])
+            long = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1, dtype=np.int32) * BANDS), long([x for b in bands for x in b]))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), long(nodes), long(fps), pa.array(marks, pa.binary()), lists], names=["doc_id", "node", "fp", "signature", "bands"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return map_arrow(rows, run, "doc_id bigint, node bigint, fp bigint, signature binary, bands array<bigint>")
+
+
+def similar_links(texts: DataFrame, root: str, crowd: int = CROWD) -> DataFrame:
+    """(u, v): links between nodes whose texts are similar, from rows of (node, fp, signature, bands), one a node.
+
+    A bucket of more than `crowd` rows is cut into parts, and each pair of parts is a bucket of its own.
+    """
+    rows = texts.select("node", "fp", "signature", F.posexplode("bands").alias("way", "key"))
+    key = ("way", "key")
+    counts = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = stage(counts, f"{root}/shared")
+    calm = rows.join(shared.where(F.col("n") <= crowd).select(*key), [*key], "left_semi")
+    similar = {"node": "node", "distance": FAR, "signature": "signature"}
+    out = bucket_links(calm, *key, **similar)
+    large = shared.where(F.col("n") > crowd)
+    if not large.isEmpty():
+        parts = large.select(*key, F.ceil(F.col("n") * 2 / crowd).cast("long").alias("parts"))
+        cut = rows.join(parts, [*key]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")))
+        cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+        cut = cut.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
+        out = out.unionByName(bucket_links(cut, *key, "low", "high", **similar))
+    return out
+
+
+def similar_classes(docs: DataFrame, words: int = SHINGLE, root: str | None = None, crowd: int = CROWD) -> DataFrame:
+    """(doc_id, component_id) for the documents that have words: the smallest id that similar texts lead to."""
+    root = root or work_dir(docs.sparkSession, "similar")
+    rows = stage(sketches(docs, words), f"{root}/sketches")
+    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.first("fp").alias("fp"), F.first("signature").alias("signature"), F.first("bands").alias("bands"))
+    nodes = stage(nodes, f"{root}/nodes")
+    found = components(similar_links(nodes, root, crowd), root).select(F.col("node").alias("_node"), "top")
+    tops = nodes.select("node", "least_id").join(found, F.col("node") == F.col("_node"), "left").select("node", "least_id", F.coalesce("top", "node").alias("top"))
+    least = tops.groupBy("top").agg(F.min("least_id").alias("component_id"))
+    of_node = tops.join(least, "top").select(F.col("node").alias("_n"), "component_id")
+    return rows.select("doc_id", "node").join(of_node, F.col("node") == F.col("_n")).select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
+    """docs without the near-duplicates: of each component the rows with its smallest id. Documents without words or id stay."""
+    gone = similar_classes(docs, words).where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("d"))
     return packed.join(gone, F.col("d.doc_id") == F.col("_id"), "left_anti").select("d.*")

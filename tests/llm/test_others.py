@@ -92,7 +92,7 @@ def test_pivots_never_discard_a_link():
 def test_large_buckets_give_a_forest():
     rng = np.random.default_rng(2)
     fps = np.unique(np.concatenate([np.uint64(77) ^ (np.uint64(1) << rng.integers(0, 40, 300).astype(np.uint64)), rng.integers(0, 1 << 63, 200).astype(np.uint64)]))
-    u, v = simhash.links_in_order(np.zeros(len(fps), int), fps, simhash.pivots())
+    u, v = fps[simhash.links_in_order(np.zeros(len(fps), int), fps, simhash.pivots())]
     assert len(u) < len(fps)
     assert (np.bitwise_count(u ^ v) <= 4).all()
     classes = brute_classes(fps.tolist())
@@ -112,6 +112,34 @@ def test_keep_one(spark):
     assert sorted(r.doc_id for r in out.collect()) == [1, 3, 4, 5] and out.columns == clashing(docs(spark, rows)).columns
 
 
+def similarity(a, b):
+    a, b = ({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in (a.split(), b.split()))
+    return len(a & b) / len(a | b)
+
+
+@pytest.mark.parametrize("crowd", [4096, 6])
+def test_similar_texts(spark, crowd):
+    """Copies with a few words changed are one class, half copies and others are not."""
+    rng = np.random.default_rng(4)
+    rows, group = [], {}
+    for g in range(12):
+        base = [f"w{x}" for x in rng.integers(0, 5000, 300)]
+        for k in range(1 if g > 8 else 9):
+            w = list(base)
+            for at in rng.integers(0, 300, 4 * bool(k)):
+                w[at] = f"new{rng.integers(0, 10**6)}"
+            rows.append((len(rows), " ".join(w), "en", "a", 0))
+            group[len(rows) - 1] = g
+        half = base[:150] + [f"v{x}" for x in rng.integers(0, 5000, 150)]
+        rows.append((len(rows), " ".join(half), "en", "a", 0))
+        group[len(rows) - 1] = 100 + g
+    assert similarity(rows[0][1], rows[1][1]) > 0.85
+    got = {r.doc_id: r.component_id for r in simhash.similar_classes(docs(spark, rows), crowd=crowd).collect()}
+    first = {}
+    for i, g in group.items():
+        assert got[i] == first.setdefault(g, i)
+
+
 # Toxicity
 
 
