@@ -135,9 +135,11 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame) -> DataFrame:
-    """docs with the lines dropped from `text`; rows of which nothing but white space stays are left out, n_chars is renewed."""
+    """docs with the lines dropped from `text` and n_chars renewed where any are; such rows go if only white space stays of them."""
     out = dedup(docs)
-    new = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
+    changed = lambda c, value: F.when(F.col("n_dropped") > 0, value).otherwise(F.col(f"d.{c}"))
+    new = {"text": changed("text", F.col("kept")), "n_chars": changed("n_chars", F.length("kept").cast("long"))}
+    new = {c: v for c, v in new.items() if c in docs.columns}
     own = out.select("n_dropped", *(new[c].alias(c) if c in new else F.col(f"d.`{c}`").alias(c) for c in docs.columns))
     return own.where((F.col("n_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")).drop("n_dropped")
 
