@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -48,18 +49,28 @@ class Query:
         """The whole result on the driver."""
         return Frame.of(self.df)
 
-    def stream(self) -> Iterator[pa.RecordBatch]:
-        """Result batches, a partition at a time."""
+    def stream(self, batch_rows: int = 1024) -> Iterator[pa.RecordBatch]:
+        """Result batches; a partition at a time is on the driver."""
+        from pyspark.sql.pandas.types import to_arrow_schema
+
         kind = self.df.schema
-        size = 1024
+        schema = to_arrow_schema(kind)
+        zoned = [isinstance(f.dataType, T.TimestampType) for f in kind.fields]
+
+        def batch(rows: list) -> pa.RecordBatch:
+            columns = [[r[k] for r in rows] for k in range(len(kind.fields))]
+            # Rows hold times of the driver's zone.
+            columns = [[v and v.astimezone(dt.timezone.utc) for v in c] if z else c for c, z in zip(columns, zoned)]
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
         held: list = []
         for row in self.df.toLocalIterator(prefetchPartitions=True):
             held.append(row)
-            if len(held) == size:
-                yield from self.df.sparkSession.createDataFrame(held, kind).toArrow().to_batches()
+            if len(held) == batch_rows:
+                yield batch(held)
                 held = []
         if held:
-            yield from self.df.sparkSession.createDataFrame(held, kind).toArrow().to_batches()
+            yield batch(held)
 
     def __iter__(self) -> Iterator[Frame]:
         for batch in self.stream():

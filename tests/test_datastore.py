@@ -86,6 +86,16 @@ def test_publish_and_read(store):
         frame.col("s", st.int64)
 
 
+def test_stream_of_batches(store):
+    store.create_topic("a", plain())
+    store.sql("INSERT INTO a SELECT timestamp'2024-01-01 05:00:00', id FROM range(5)")
+    q = store.query("SELECT * FROM a ORDER BY k")
+    assert [b.num_rows for b in q.stream(2)] == [2, 2, 1]
+    frames = list(q)
+    assert frames[0].nrows == 5 and frames[0]["k"].to_arrow().to_pylist() == [0, 1, 2, 3, 4]
+    assert frames[0].to_arrow().equals(q.execute().to_arrow().cast(frames[0].arrow_schema()))
+
+
 def test_required_and_sizes_are_checked(store, spark):
     a = store.create_topic("a", info())
     bad = spark.createDataFrame([(dt.datetime(2024, 1, 1), [1.0], "s")], "time timestamp, x array<double>, s string")
