@@ -1,7 +1,9 @@
 """Toxicity by multiple-instance learning.
 
-A document is a bag of sentences. A sentence's score is logistic in the sum of its words' weights, and a document's is the noisy-or
-of its sentences': 1 - product of (1 - p). Only documents have labels; the gradient reaches the sentences through the noisy-or, so
+A document is a bag of sentences. A sentence's odds are logistic in the sum of its words' weights, taken relative to a sentence
+without any evidence, which so adds nothing: 1 - p = (1 - sigmoid(s + b)) / (1 - sigmoid(b)). A document's score is the noisy-or of
+its sentences' and of one bias for the whole document: 1 - (1 - sigmoid(b)) * product of (1 - p). So length alone never makes a
+document toxic. Only documents have labels; the gradient reaches the sentences through the noisy-or, so
 the model learns which sentences offend and can point at them. Features are a word and its first letters, so that inflected and
 unseen forms of a stem are found; a feature must speak for toxicity on its own to be taken up.
 
@@ -62,7 +64,7 @@ def features(word: str) -> list[str]:
 
 @dataclass
 class Model:
-    """Weights by feature and the bias of a sentence."""
+    """Weights by feature and the bias of a document."""
 
     bias: float
     weights: dict[str, float]
@@ -101,25 +103,24 @@ class Model:
         of[sentence] = doc
         used = np.zeros(len(total), bool)
         used[sentence] = True
-        quiet = -np.logaddexp(0, total[used] + self.bias)  # log of 1 - p
-        log_none = np.bincount(of[used], quiet, minlength=n)
-        log_none[np.diff(bounds) == 0] = -np.logaddexp(0, self.bias)
-        return -np.expm1(log_none)
+        base = np.logaddexp(0, self.bias)
+        quiet = base - np.logaddexp(0, total[used] + self.bias)  # log of 1 - p
+        return -np.expm1(np.bincount(of[used], quiet, minlength=n) - base)
 
     def sentences(self, text: str | None) -> list[tuple[int, int, float]]:
-        """(start, end, score) of each sentence, as places in the text."""
+        """(start, end, score) of each sentence, as places in the text. The document's bias is spread evenly over its sentences."""
         out, start, total, seen = [], None, 0.0, 0
-        p = lambda x: 1 / (1 + np.exp(-(x + self.bias)))
         for m in re.finditer(r"[^\x20\x09-\x0D]+|\n", text or ""):
             if m[0] != "\n":
                 weight, end = self.word(m[0])
                 start, total, seen = m.start() if start is None else start, total + weight, m.end()
             if start is not None and (m[0] == "\n" or end):
-                out.append((start, seen, float(p(total))))
+                out.append((start, seen, total))
                 start, total = None, 0.0
         if start is not None:
-            out.append((start, seen, float(p(total))))
-        return out
+            out.append((start, seen, total))
+        base = np.logaddexp(0, self.bias)
+        return [(a, b, float(-np.expm1(base - base / len(out) - np.logaddexp(0, s + self.bias)))) for a, b, s in out]
 
 
 def _words(texts: pa.Array) -> pa.ListArray:
@@ -172,13 +173,15 @@ def fit(rows: list[tuple[str, int]], steps: int = STEPS) -> Model:
     w[-1] = -4.0
     for t in range(1, steps + 1):
         s = w[-1] + np.bincount(sent, w[feat], minlength=len(doc_of))
-        p = 1 / (1 + np.exp(-s))
-        log_none = np.bincount(doc_of, -np.logaddexp(0, s), minlength=len(y))
+        p, idle = 1 / (1 + np.exp(-s)), 1 / (1 + np.exp(-w[-1]))
+        base = np.logaddexp(0, w[-1])
+        log_none = np.bincount(doc_of, base - np.logaddexp(0, s), minlength=len(y)) - base
         whole = np.clip(-np.expm1(log_none), 1e-9, 1)
         # Of the cross-entropy, through the noisy-or.
         pull = np.where(y == 1, -(1 - whole) / whole / n_pos, 1 / n_neg) / 2
         g_s = pull[doc_of] * p
-        g = np.append(np.bincount(feat, g_s[sent], minlength=len(number)), g_s.sum()) 
+        # The bias counts once a document, and in a sentence only as far as its evidence shifts it.
+        g = np.append(np.bincount(feat, g_s[sent], minlength=len(number)), (pull[doc_of] * (p - idle)).sum() + (pull * idle).sum())
         g[:-1] += DECAY
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w -= RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)

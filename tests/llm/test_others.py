@@ -165,6 +165,19 @@ def test_sentences_are_located():
     assert p[0] == pytest.approx(1 - np.prod([1 - s for *_, s in model.sentences(text)]))
 
 
+def test_length_alone_is_not_toxic():
+    model = toxicity.fit(bags())
+    clean, toxic = "w2 w3 w5. ", "Such a blargish snark here! "
+    assert not any(model.word(w)[0] for w in clean.split())
+    p = model.scores(pa.array(["", clean, clean * 1000, clean * 100_000, clean * 1000 + toxic, toxic]))
+    assert p[:4] == pytest.approx([p[0]] * 4) and p[0] < 0.2 and p[4] > 0.9 and p[4] == pytest.approx(p[5])
+    text = clean * 1000 + toxic
+    found = model.sentences(text)
+    assert [text[a:b] for a, b, s in found if s > 0.5] == [toxic.strip()]
+    assert p[4] == pytest.approx(1 - np.prod([1 - s for *_, s in found]))
+    assert toxicity.fit([("a. b. c.", 1)] * 2).scores(pa.array(["a. b. c. d."] * 2)) == pytest.approx([0.999] * 2)
+
+
 def test_toxicity_held_out(spark):
     d, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     rows = toxicity.digest(d, labels).join(labels, "doc_id").collect()
