@@ -61,6 +61,8 @@ IMPLIED = {
     "colgroup": ({"caption", "colgroup"}, {"table"}),
 }
 TABLE_PARTS = frozenset("caption col colgroup tbody td tfoot th thead tr".split())
+#: What a head may hold; anything else ends it.
+IN_HEAD = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
 IN_TABLE = frozenset("table tbody tfoot thead tr".split())
 #: No end tag but a table's own reaches beyond these.
 WALLS = frozenset("caption html table td template th".split())
@@ -96,6 +98,11 @@ def parse(page: str) -> Node:
                 return
         at.children.append(child)
 
+    def add_text(s: str) -> None:
+        if stack[-1].tag == "head" and s.strip(" \t\n\f\r"):
+            stack.pop()
+        add(s)
+
     def close(names: set[str] | frozenset[str], walls) -> bool:
         for k in range(len(stack) - 1, 0, -1):
             if stack[k].tag in names:
@@ -106,6 +113,8 @@ def parse(page: str) -> Node:
         return False
 
     def start(tag: str, attrs: str, closed: bool) -> None:
+        if stack[-1].tag == "head" and tag not in IN_HEAD:
+            stack.pop()
         if tag in TABLE_PARTS:
             if not any(x.tag == "table" for x in stack):
                 return
@@ -148,10 +157,10 @@ def parse(page: str) -> Node:
     while at < n:
         m = _TAG.search(page, at)
         if not m:
-            add(_text(page[at:]))
+            add_text(_text(page[at:]))
             break
         if m.start() > at:
-            add(_text(page[at : m.start()]))
+            add_text(_text(page[at : m.start()]))
         at = max(m.end(), m.start() + 1)
         if m[3] is None:
             continue

@@ -272,6 +272,14 @@ def test_html_loses_no_words(parts):
     assert sorted(re.findall(r"word\d+", html_text.to_text(page))) == words
 
 
+def test_html_head_without_end():
+    t = html_text.to_text
+    assert t("<html><head><title>t</title><body><p>text") == "text"
+    assert t("<head><meta charset=utf-8><title>t</title><p>text<p>more") == "text\n\nmore"
+    assert t("<head><title>t</title>\n <script>var a</script> plain <b>bold</b>") == "plain bold"
+    assert t("<!doctype html><head><link href=x><style>p{}</style><noscript>n</noscript><title>t</title>") == ""
+
+
 def test_html_pages(spark):
     pages = spark.read.parquet(f"{DATA}/pages.parquet")
     rows = html_text.extract(clashing(pages)).collect()
