@@ -6,7 +6,7 @@ emitted in the order of the page: blocks on lines of their own with the blank li
 and indentation, preformatted text as it is, and table cells aligned in columns.
 
 Defined cases: null or empty HTML gives empty text; text without tags is rendered as one block; unclosed comments, tags and raw
-elements end with the page; nesting beyond MAX_DEPTH is flattened, not lost; repeated rows give repeated rows; an empty table
+elements end with the page; nesting beyond MAX_DEPTH is flattened, not lost, and what a table without room for its parts holds becomes plain lines; repeated rows give repeated rows; an empty table
 gives an empty result; columns other than the id and the HTML are ignored.
 """
 
@@ -26,6 +26,8 @@ from streamtable.llm.common import map_arrow
 from streamtable.llm.tokens import slices
 
 MAX_DEPTH = 200
+#: A table is only built where it and its section, row and cell can be opened.
+TABLE_LEVELS = 4
 #: Cells are padded to their column's width, but not beyond so many characters; longer ones run over.
 MAX_COLUMN = 60
 MAX_SPAN = 1000
@@ -87,6 +89,7 @@ def parse(page: str) -> Node:
     """The page's tree below a node `html`."""
     root = Node("html")
     stack = [root]
+    flat: dict[int, int] = {}  # id of an open node: open tables right in it that are too deep to be built
 
     def add(child: Node | str) -> None:
         at = stack[-1]
@@ -112,11 +115,20 @@ def parse(page: str) -> Node:
                 return False
         return False
 
+    def table() -> int:
+        """The place of the innermost table, or of the node that a table too deep to be built is in; 0 without any."""
+        return next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == "table" or flat.get(id(stack[k]))), 0)
+
     def start(tag: str, attrs: str, closed: bool) -> None:
         if stack[-1].tag == "head" and tag not in IN_HEAD:
             stack.pop()
         if tag in TABLE_PARTS:
-            if not any(x.tag == "table" for x in stack):
+            k = table()
+            if not k:
+                return
+            if stack[k].tag != "table":
+                del stack[k + 1 :]
+                add(Node("div"))  # parts the lines
                 return
             if tag in IMPLIED:
                 if tag in ("td", "th"):
@@ -138,9 +150,14 @@ def parse(page: str) -> Node:
         if tag in ("html", "body"):
             stack[0].attrs += attrs  # one of each, and it is there already
             return
+        if tag == "table" and len(stack) + TABLE_LEVELS > MAX_DEPTH:
+            add(Node("div"))
+            flat[id(stack[-1])] = flat.get(id(stack[-1]), 0) + 1
+            return
         node = Node(tag, attrs)
         add(node)
-        if tag not in VOID and not (closed and tag not in BLOCK and tag not in RAW) and len(stack) < MAX_DEPTH:
+        # What isn't shown may be deeper: it is never descended into.
+        if tag not in VOID and not (closed and tag not in BLOCK and tag not in RAW) and (len(stack) < MAX_DEPTH or not visible(node)):
             stack.append(node)
 
     def end(tag: str) -> None:
@@ -150,6 +167,10 @@ def parse(page: str) -> Node:
             add(Node("p"))
         elif re.fullmatch("h[1-6]", tag):
             close({"h1", "h2", "h3", "h4", "h5", "h6"}, WALLS)
+        elif (tag == "table" or tag in TABLE_PARTS) and flat and flat.get(id(stack[k := table()])):
+            del stack[k + 1 :]
+            add(Node("div"))
+            flat[id(stack[k])] -= tag == "table"
         elif tag not in ("html", "body"):
             close({tag}, {"html", "table"} - {tag} if tag in TABLE_PARTS or tag == "table" else WALLS - {tag})
 

@@ -280,6 +280,15 @@ def test_html_head_without_end():
     assert t("<!doctype html><head><link href=x><style>p{}</style><noscript>n</noscript><title>t</title>") == ""
 
 
+@pytest.mark.parametrize("depth", [150, *range(190, 211)])
+def test_html_tables_at_the_depth_limit(depth):
+    t = html_text.to_text
+    for part in ("<table>", "<table><tbody>", "<table><thead><tr><th>h<tbody>", "<table><caption>h</caption>"):
+        page = "<div>" * depth + f"{part}<tr><td>x1<td>y2<tr><td>z3<table><tr><td>i4<td>j5</table>k6</table>tail<script>var a</script><p hidden>no"
+        assert t(page).replace("h", "", 1).split() == ["x1", "y2", "z3", "i4", "j5", "k6", "tail"]
+    assert t("<table><tr><td>" * depth + "a<td>b" + "</table>" * depth + "c").split() == ["a", "b", "c"]
+
+
 def test_html_pages(spark):
     pages = spark.read.parquet(f"{DATA}/pages.parquet")
     rows = html_text.extract(clashing(pages)).collect()
