@@ -102,7 +102,7 @@ def parse(page: str) -> Node:
         at.children.append(child)
 
     def add_text(s: str) -> None:
-        if stack[-1].tag == "head" and s.strip(" \t\n\f\r"):
+        if stack[-1].tag in ("head", "colgroup") and s.strip(" \t\n\f\r"):
             stack.pop()
         add(s)
 
@@ -120,7 +120,7 @@ def parse(page: str) -> Node:
         return next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == "table" or flat.get(id(stack[k]))), 0)
 
     def start(tag: str, attrs: str, closed: bool) -> None:
-        if stack[-1].tag == "head" and tag not in IN_HEAD:
+        if stack[-1].tag == "head" and tag not in IN_HEAD or stack[-1].tag == "colgroup" and tag not in ("col", "template"):
             stack.pop()
         if tag in TABLE_PARTS:
             k = table()
@@ -156,6 +156,8 @@ def parse(page: str) -> Node:
             return
         node = Node(tag, attrs)
         add(node)
+        if tag == "form" and stack[-1].tag in IN_TABLE:
+            return  # stays empty: what follows goes before the table or into its cells
         # What isn't shown may be deeper: it is never descended into.
         if tag not in VOID and not (closed and tag not in BLOCK and tag not in RAW) and (len(stack) < MAX_DEPTH or not visible(node)):
             stack.append(node)
@@ -378,14 +380,33 @@ def _rows(node: Node) -> Iterator[Node]:
                 yield from [x] if x.tag == "tr" else (r for r in x.children if isinstance(r, Node) and r.tag == "tr" and visible(r))
 
 
+def _leftovers(node: Node) -> Iterator[Node | str]:
+    """What is in a table but in none of its cells and captions."""
+    for x in node.children:
+        if isinstance(x, str):
+            if x.strip():
+                yield x
+        elif x.tag in ("tbody", "thead", "tfoot", "tr", "colgroup"):
+            if visible(x):
+                yield from _leftovers(x)
+        elif x.tag not in TABLE_PARTS:
+            yield x
+
+
 def _table(node: Node) -> list[str]:
-    """Lines of a table: captions, then rows with aligned cells."""
+    """Lines of a table: captions, whatever is in no cell, then rows with aligned cells."""
     head: list[str] = []
     for x in node.children:
         if isinstance(x, Node) and x.tag == "caption" and visible(x):
             inner = Lines()
             render(x, inner)
             head += inner.finish()
+    other = Node("div")
+    other.children = list(_leftovers(node))
+    if other.children:
+        inner = Lines()
+        render(other, inner)
+        head += inner.finish()
     taken: dict[int, int] = {}  # column: rows still covered from above
     rows: list[list[tuple[int, int, str, list[str]]]] = []
     widths: dict[int, int] = {}

@@ -289,6 +289,17 @@ def test_html_tables_at_the_depth_limit(depth):
     assert t("<table><tr><td>" * depth + "a<td>b" + "</table>" * depth + "c").split() == ["a", "b", "c"]
 
 
+def test_html_forms_and_column_groups_in_tables():
+    t = html_text.to_text
+    assert t("<table><form>Search for <b>books</b><tr><td>c</form></table>") == "Search for books\n\nc"
+    assert t("<table><tr><form><p>q</p><input value=v><td>c<td>d</table>e") == "q\n\nv\n\nc  d\n\ne"
+    assert t("<table><colgroup><col>lost<tr><td>c</table>") == t("<table><colgroup>lost<tr><td>c</table>") == "lost\n\nc"
+    assert t("<table><colgroup><b>bold</b><tbody><tr><td>c</table>") == "bold\n\nc" and t("<form>a<table><tr><td>c</table>b</form>") == "a\n\nc\n\nb"
+    table = html_text.parse("<table><tr><td>c</table>").children[0]
+    table.children.insert(0, "left over")
+    assert html_text._table(table) == ["left over", "c"]
+
+
 def test_html_pages(spark):
     pages = spark.read.parquet(f"{DATA}/pages.parquet")
     rows = html_text.extract(clashing(pages)).collect()
