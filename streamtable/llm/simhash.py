@@ -333,54 +333,63 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 # Near copies by similarity. A few bits of difference are a close copy; texts whose shingles agree by 0.8 differ in up to 13 of 64
-# bits, for which no dealing out by equal bits is selective. Here buckets come from the smallest shingle hashes instead.
+# bits, for which no dealing out by equal bits is selective. Here buckets come from the smallest shingle hashes instead. What is
+# estimated there is only a loose filter: its components hold all similar pairs, and within each of them the sets of shingle
+# hashes themselves decide.
 
 SHINGLE = 5
 SIMILARITY = 0.8
 #: Smallest hashes under so many multipliers; one byte of each is kept as the signature.
 HASHES = 128
-#: Three of them make a bucket's key: of two texts with a similarity of 0.8, all but 2 in 10,000 share one of twelve.
-BANDS, PER_BAND = 12, 3
-#: Bytes of two signatures that must agree: 0.8 less one standard error of the estimate, and what agrees by chance.
-AGREE = 98
-#: Bits that fingerprints may differ in, well beyond what a similarity of 0.8 gives.
-FAR = 20
+#: Three of them make a bucket's key: of two texts with a similarity of 0.8, all but 1 in 100,000 share one of sixteen.
+BANDS, PER_BAND = 16, 3
+#: Bytes of two signatures that must agree: 0.8 less over four standard errors of the estimate, as a loose filter.
+AGREE = 82
+#: Bits that fingerprints may differ in: 13 at a similarity of 0.8, and three standard deviations more.
+FAR = 24
+#: Shingle hashes that are compared in one bucket at most, unless two texts have more.
+CROWD_HASHES = 2_000_000
 
 
 def _multipliers() -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(f"multiplier {k}", SEED) | 1 for k in range(HASHES)], np.uint64)
 
 
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+
+
 def sketches(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
-    """doc_id, node (a hash of the words), fp, signature and bands, for documents that have words."""
+    """doc_id, text_hash, node (a hash of the words), fp (of the set of shingles), signature and bands, for documents that have words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         factors = _multipliers()
         for batch in batches:
-            ids, nodes, fps, marks, bands = [], [], [], [], []
-            for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+            ids, texts, nodes, fps, marks, bands = [], [], [], [], [], []
+            for i, x, text in zip(batch.column("doc_id").to_pylist(), batch.column("text_hash").to_pylist(), batch.column("text")):
                 h = _shingle_hashes(text.as_py(), words)
                 if not len(h):
                     continue
+                nodes.append(xxhash.xxh64_intdigest(h.tobytes()))
+                h = np.unique(h)
                 least = np.full(HASHES, np.iinfo(np.uint64).max, np.uint64)
                 for k in range(0, len(h), 1024):
                     least = np.minimum(least, (h[k : k + 1024, None] * factors).min(0))
                 ids.append(i)
-                nodes.append(xxhash.xxh64_intdigest(h.tobytes()))
+                texts.append(x)
                 fps.append(_fold(h))
                 marks.append(least.astype(np.uint8).tobytes())
                 raw = least[: BANDS * PER_BAND].astype("<u8").tobytes()
                 bands.append([xxhash.xxh64_intdigest(raw[b * 8 * PER_BAND : (b + 1) * 8 * PER_BAND]) for b in range(BANDS)])
             long = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1, dtype=np.int32) * BANDS), long([x for b in bands for x in b]))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), long(nodes), long(fps), pa.array(marks, pa.binary()), lists], names=["doc_id", "node", "fp", "signature", "bands"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.int64()), long(nodes), long(fps), pa.array(marks, pa.binary()), lists], names=["doc_id", "text_hash", "node", "fp", "signature", "bands"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return map_arrow(rows, run, "doc_id bigint, node bigint, fp bigint, signature binary, bands array<bigint>")
+    return map_arrow(_texts(docs), run, "doc_id bigint, text_hash bigint, node bigint, fp bigint, signature binary, bands array<bigint>")
 
 
 def similar_links(texts: DataFrame, root: str, crowd: int = CROWD) -> DataFrame:
-    """(u, v): links between nodes whose texts are similar, from rows of (node, fp, signature, bands), one a node.
+    """(u, v): links between nodes whose texts may be similar, from rows of (node, fp, signature, bands), one a node.
 
     A bucket of more than `crowd` rows is cut into parts, and each pair of parts is a bucket of its own.
     """
@@ -394,20 +403,103 @@ def similar_links(texts: DataFrame, root: str, crowd: int = CROWD) -> DataFrame:
     large = shared.where(F.col("n") > crowd)
     if not large.isEmpty():
         parts = large.select(*key, F.ceil(F.col("n") * 2 / crowd).cast("long").alias("parts"))
-        cut = rows.join(parts, [*key]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")))
-        cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-        cut = cut.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
-        out = out.unionByName(bucket_links(cut, *key, "low", "high", **similar))
+        out = out.unionByName(bucket_links(_pairs_of_parts(rows.join(parts, [*key])), *key, "low", "high", **similar))
     return out
 
 
+def _pairs_of_parts(rows: DataFrame) -> DataFrame:
+    """Rows with the number of their bucket's parts, under each pair (low, high) of parts that has their own."""
+    cut = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")))
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    return cut.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
+
+
+def shingle_sets(docs: DataFrame, members: DataFrame, words: int, root: str) -> DataFrame:
+    """(node, top, size, hashes): the set of shingle hashes of each member, rows of (node, top, doc_id, text_hash)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(_shingle_hashes(x.as_py(), words)) for x in batch.column("text")]
+            columns = [batch.column("node"), batch.column("top"), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "top", "size", "hashes"])
+
+    own = members.select("node", "top", F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    found = _texts(docs).join(own, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")))
+    found = found.groupBy("node").agg(F.first("top").alias("top"), F.first("text").alias("text"))
+    return stage(map_arrow(found, run, "node bigint, top bigint, size bigint, hashes binary"), f"{root}/sets")
+
+
+def set_forest(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs with a Jaccard similarity of SIMILARITY at least, as places. The sets aren't empty."""
+    order = sorted(range(len(sets)), key=lambda k: len(sets[k]))
+    size = np.array([len(sets[k]) for k in order])
+    start = np.cumsum(size) - size
+    ids = np.unique(np.concatenate([sets[k] for k in order]), return_inverse=True)[1]
+    flag = np.zeros(len(ids), np.int32)
+    label = np.arange(len(order))
+    least, out = round(SIMILARITY * 100), []
+    for k in range(len(order)):
+        # Larger sets can't be similar: the smaller one's size is the intersection's at most.
+        others = np.arange(k + 1, int(np.searchsorted(size, size[k] * 100 // least, "right")))
+        others = others[label[others] != label[k]]
+        if not len(others):
+            continue
+        own = ids[start[k] : start[k] + size[k]]
+        n = size[others]
+        first = np.cumsum(n) - n
+        flag[own] = 1
+        common = np.add.reduceat(flag[ids[np.repeat(start[others] - first, n) + np.arange(n.sum())]], first)
+        flag[own] = 0
+        found = others[100 * common >= least * (size[k] + n - common)]
+        for x in found[np.unique(label[found], return_index=True)[1]].tolist():
+            label[label == label[x]] = label[k]
+            out.append((order[k], order[x]))
+    return out
+
+
+def exact_links(sets: DataFrame, root: str, crowd: int = CROWD) -> DataFrame:
+    """(u, v): links between nodes of one `top` that have the components of all its similar pairs, from shingle_sets().
+
+    Where a top has over `crowd` nodes or CROWD_HASHES hashes, it is cut into parts, as in similar_links().
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, nodes, held = None, [], []
+
+        def links() -> Iterator[pa.RecordBatch]:
+            pairs = set_forest(held) if len(held) > 1 else []
+            if pairs:
+                yield pa.RecordBatch.from_arrays([pa.array([nodes[x[k]] for x in pairs], pa.int64()) for k in (0, 1)], names=["u", "v"])
+
+        for batch in batches:
+            keys = zip(*(batch.column(c).to_pylist() for c in ("top", "low", "high")))
+            for key, node, hashes in zip(keys, batch.column("node").to_pylist(), batch.column("hashes")):
+                if key != at:
+                    yield from links()
+                    at, nodes, held = key, [], []
+                nodes.append(node)
+                held.append(np.frombuffer(hashes.as_py(), np.uint64))
+        yield from links()
+
+    need = F.greatest(F.count(F.lit(1)) / crowd, F.sum("size") / CROWD_HASHES)
+    parts = sets.groupBy("top").agg(F.least(F.when(need > 1, F.ceil(need * 2)).otherwise(1), F.count(F.lit(1))).cast("long").alias("parts"))
+    rows = _pairs_of_parts(sets.join(stage(parts, f"{root}/parts"), ["top"])).select("top", "low", "high", "node", "hashes")
+    rows = rows.repartition("top", "low", "high").sortWithinPartitions("top", "low", "high")
+    return map_arrow(rows, run, "u bigint, v bigint")
+
+
 def similar_classes(docs: DataFrame, words: int = SHINGLE, root: str | None = None, crowd: int = CROWD) -> DataFrame:
     """(doc_id, component_id) for the documents that have words: the smallest id that similar texts lead to."""
     root = root or work_dir(docs.sparkSession, "similar")
     rows = stage(sketches(docs, words), f"{root}/sketches")
-    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.first("fp").alias("fp"), F.first("signature").alias("signature"), F.first("bands").alias("bands"))
+    place = F.max(F.struct("doc_id", "text_hash")).alias("place")
+    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("least_id"), place, F.first("fp").alias("fp"), F.first("signature").alias("signature"), F.first("bands").alias("bands"))
     nodes = stage(nodes, f"{root}/nodes")
-    found = components(similar_links(nodes, root, crowd), root).select(F.col("node").alias("_node"), "top")
+    loose = components(similar_links(nodes, root, crowd), f"{root}/loose")
+    loose = loose.unionByName(loose.select(F.col("top").alias("node"), "top").distinct())
+    members = stage(nodes.select("node", "place.*").join(loose, "node"), f"{root}/members")
+    exact = exact_links(shingle_sets(docs, members, words, root), root, crowd)
+    found = components(exact, f"{root}/exact").select(F.col("node").alias("_node"), "top")
     tops = nodes.select("node", "least_id").join(found, F.col("node") == F.col("_node"), "left").select("node", "least_id", F.coalesce("top", "node").alias("top"))
     least = tops.groupBy("top").agg(F.min("least_id").alias("component_id"))
     of_node = tops.join(least, "top").select(F.col("node").alias("_n"), "component_id")

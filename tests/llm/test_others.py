@@ -140,6 +140,35 @@ def test_similar_texts(spark, crowd):
         assert got[i] == first.setdefault(g, i)
 
 
+@pytest.mark.parametrize("crowd", [4096, 6])
+def test_similar_texts_near_the_threshold(spark, crowd):
+    """Pairs at 0.70 to 0.82, with repeats, and a family of pages around 0.7 against brute force."""
+    rng = np.random.default_rng(5)
+    texts = []
+    for want in (0.70, 0.75, 0.78, 0.79, 0.80, 0.81, 0.82):
+        for _ in range(12):
+            # n words have n - 4 shingles; the copy goes on with other words, so that common / all is as wanted.
+            common, own = 200, round((200 / want - 200) / 2)
+            base = [f"w{x}" for x in rng.integers(0, 10**6, common + 4)]
+            a, b = ([*base, *(f"{c}{x}" for x in rng.integers(0, 10**6, own))] for c in "xy")
+            assert round(similarity(" ".join(a), " ".join(b)), 2) == pytest.approx(want, abs=0.011)
+            texts += [" ".join(a), " ".join(b)]
+    page = [f"p{x}" for x in rng.integers(0, 10**6, 254)]
+    texts += [" ".join([*page, *(f"q{x}" for x in rng.integers(0, 10**6, 50))]) for _ in range(60)]
+    phrase = [f"r{x}" for x in rng.integers(0, 10**6, 20)]
+    texts += [" ".join(phrase * 3), " ".join(phrase * 40)]
+    sets = [set(zip(*(t.split()[k:] for k in range(5)))) for t in texts]
+    want = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and want[i] != want[j]:
+                want = [min(want[i], want[j]) if x in (want[i], want[j]) else x for x in want]
+    assert 20 < len(texts) - len(set(want)) < 60
+    rows = [(k, t, "en", "a", 0) for k, t in enumerate(texts)]
+    got = {r.doc_id: r.component_id for r in simhash.similar_classes(docs(spark, rows), crowd=crowd).collect()}
+    assert [got[k] for k in range(len(texts))] == want
+
+
 # Toxicity
 
 
