@@ -1,9 +1,9 @@
 """Packing token sequences by shortest-pack-first over the length histogram.
 
 Documents are cut into pieces of the sequence length and a remainder. Only the histogram of the piece lengths, at most 2048
-numbers, goes to the driver. There lengths are placed longest first: all pieces of one length go into the packs with the least
-room that still holds them, as counts of packs with one pattern, splitting a pattern's count where fewer pieces than packs are
-left. The patterns give, for each length, intervals of ranks: the r-th piece of that length has its sequence and place by
+numbers, goes to the driver. There lengths are placed longest first, each piece into the shortest open pack, the one with the
+most room, as counts of packs with one pattern; a pattern's count is split where fewer pieces than packs are left, and a new pack
+is opened where the shortest one has no room. The patterns give, for each length, intervals of ranks: the r-th piece of that length has its sequence and place by
 arithmetic. Pieces get ranks within their length from counts of a salted split, so that no task holds all pieces of a length.
 
 Defined cases: a null or empty text is the end id alone; equal documents, or repeated rows, are separate documents, each packed
@@ -25,7 +25,10 @@ from streamtable.llm.common import map_arrow, stage, work_dir
 from streamtable.llm.tokens import Encoder, default_vocabulary, slices
 
 SEQUENCE = 2048
-SALTS = 256
+#: Parts of the pieces of one length: so many at least, and one for so many pieces.
+SALTS, PIECES_A_SALT = 256, 1 << 20
+#: More than the pieces of one length.
+_RANKS = 1 << 50
 _PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 
 
@@ -57,7 +60,11 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, with_ids: bool = Fals
 
 
 def patterns(histogram: dict[int, int], most: int = SEQUENCE) -> list[tuple[tuple[int, ...], int]]:
-    """Shortest-pack-first: patterns of lengths, each with its count of packs. Lengths in a pattern are in placing order."""
+    """Shortest-pack-first: patterns of lengths, each with its count of packs. Lengths in a pattern are in placing order.
+
+    The same packs as placing piece by piece, longest first, each into the open pack with the most room, the smallest pattern
+    among equals, and into a new pack where none has room.
+    """
     open_packs: dict[int, dict[tuple[int, ...], int]] = defaultdict(dict)  # by room left
     full: dict[tuple[int, ...], int] = defaultdict(int)
 
@@ -69,29 +76,25 @@ def patterns(histogram: dict[int, int], most: int = SEQUENCE) -> list[tuple[tupl
 
     for length in sorted(histogram, reverse=True):
         left = histogram[length]
-        room = length
-        while left:
-            while room <= most and not open_packs.get(room):
-                room += 1
-            if room > most:  # no open pack holds this length
-                per = most // length
-                if left >= per:
-                    put((length,) * per, left // per, most - per * length)
-                if left % per:
-                    put((length,) * (left % per), 1, most - left % per * length)
+        # A pack that gets a piece has less room then, so going down meets it again if it holds another one.
+        for room in range(most, length - 1, -1):
+            packs_of = open_packs.get(room)
+            while packs_of and left:
+                pattern = min(packs_of)
+                count = packs_of.pop(pattern)
+                n = min(count, left)
+                put(pattern + (length,), n, room - length)
+                left -= n
+                if count > n:
+                    packs_of[pattern] = count - n
+            if not left:
                 break
-            pattern, count = next(iter(open_packs[room].items()))
-            del open_packs[room][pattern]
-            fits = room // length
-            packs = min(count, left // fits)
-            if packs:
-                put(pattern + (length,) * fits, packs, room - fits * length)
-                left -= packs * fits
-            else:
-                put(pattern + (length,) * left, 1, room - left * length)
-                packs, left = 1, 0
-            if count > packs:
-                open_packs[room][pattern] = open_packs[room].get(pattern, 0) + count - packs
+        # No open pack has room: a new one is the pack with the most room for this length until it's full.
+        per = most // length
+        if left >= per:
+            put((length,) * per, left // per, most - per * length)
+        if left % per:
+            put((length,) * (left % per), 1, most - left % per * length)
     for packs_of in open_packs.values():
         for pattern, count in packs_of.items():
             full[pattern] += count
@@ -120,14 +123,13 @@ def intervals(packed: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int,
     return out
 
 
-def ranked(rows: DataFrame, root: str) -> DataFrame:
-    """rows, staged, with `rank`: a number from 0 within their length, gapless.
+def ranked(rows: DataFrame, histogram: dict[int, int]) -> DataFrame:
+    """rows, a staged table, with `rank`: a number from 0 within their length, gapless.
 
     The number within (length, salt) is a window over a small part of a length's rows; the salts' counts give where it starts.
     """
-    salt = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "nth"), F.lit(SALTS))
-    rows = rows.withColumn("nth", F.monotonically_increasing_id()).withColumn("salt", salt)
-    rows = stage(rows, f"{root}/pieces")
+    salts = max(SALTS, -(-max(histogram.values()) // PIECES_A_SALT))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "nth"), F.lit(salts)))
     counts = rows.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select(F.col("length").alias("_l"), F.col("salt").alias("_s"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
@@ -138,25 +140,25 @@ def ranked(rows: DataFrame, root: str) -> DataFrame:
 
 def pack(cut: DataFrame, root: str) -> DataFrame:
     """cut (any rows with doc_id, start, length and ids_crc32) with sequence_id and offset."""
-    spark = cut.sparkSession
-    rows = ranked(cut, root)
-    histogram = {r[0]: r[1] for r in spark.read.parquet(f"{root}/pieces").groupBy("length").count().collect()}
+    rows = stage(cut.withColumn("nth", F.monotonically_increasing_id()), f"{root}/pieces")
+    histogram = {r[0]: r[1] for r in rows.groupBy("length").count().collect()}
     if not histogram:
         return rows.select(*cut.columns, F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    by_length: dict[int, list] = defaultdict(list)
-    for length, *rest in intervals(patterns(histogram)):
-        by_length[length].append(tuple(rest))
-    kind = "l long, slots array<struct<rank:bigint,sequence:bigint,m:bigint,offset:bigint>>"
-    table = spark.createDataFrame([(k, v) for k, v in by_length.items()], kind)
-    # One row for each length, 2048 at most.
-    both = rows.join(F.broadcast(table), F.col("length") == F.col("l"))
-    slot = F.element_at(F.filter("slots", lambda s: s.rank <= F.col("rank")), -1)
-    both = both.withColumn("slot", slot).withColumn("r", F.col("rank") - F.col("slot.rank"))
-    return both.select(
-        *cut.columns,
-        (F.col("slot.sequence") + F.expr("r div slot.m")).alias("sequence_id"),
-        (F.col("slot.offset") + F.expr("r % slot.m") * F.col("length")).alias("offset"),
-    )
+    rows = ranked(rows, histogram)
+    # At most some thousand rows: no more than lengths times the patterns that hold them.
+    table = np.array(sorted(intervals(patterns(histogram))), np.int64).T
+    starts, names = table[0] * _RANKS + table[1], cut.columns
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            length, rank = (np.asarray(batch.column(c)) for c in ("length", "rank"))
+            _, first, sequence, m, offset = table[:, np.searchsorted(starts, length * _RANKS + rank, "right") - 1]
+            nth = rank - first
+            placed = [pa.array(sequence + nth // m), pa.array(offset + nth % m * length)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *placed], names=[*names, "sequence_id", "offset"])
+
+    kinds = ", ".join(f"`{c}` {t}" for c, t in cut.dtypes)
+    return map_arrow(rows.select(*names, "rank"), place, f"{kinds}, sequence_id bigint, offset bigint")
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """Token ids, packing and token files."""
 
+import functools
 import random
 import zlib
 from collections import Counter
@@ -21,6 +22,7 @@ def encoder():
     return Encoder.get(default_vocabulary())
 
 
+@functools.cache
 def ids_of(encoder, text):
     return encoder.tokenizer.encode(text or "", add_special_tokens=False).ids + [1]
 
@@ -72,8 +74,29 @@ def test_patterns():
                 placed[length] += n
         assert placed == h
     assert packing.patterns({}) == []
-    # Longest first, into the pack with the least room that holds it.
-    assert packing.patterns({1500: 1, 1000: 1, 500: 1}) == [((1500, 500), 1), ((1000,), 1)]
+    # Longest first, into the shortest pack.
+    assert packing.patterns({1500: 1, 1000: 1, 500: 1}) == [((1500,), 1), ((1000, 500), 1)]
+
+
+def one_by_one(histogram, most):
+    """Each piece into the pack with the most room, the smallest pattern among equals."""
+    packs = []
+    for length in sorted(histogram, reverse=True):
+        for _ in range(histogram[length]):
+            fits = [k for k, p in enumerate(packs) if most - sum(p) >= length]
+            if fits:
+                packs[min(fits, key=lambda k: (sum(packs[k]), packs[k]))] += (length,)
+            else:
+                packs.append((length,))
+    return sorted(Counter(packs).items(), reverse=True)
+
+
+def test_patterns_brute_force():
+    rng = random.Random(2)
+    for _ in range(300):
+        most = rng.choice([7, 16, 50])
+        h = {rng.randint(1, most): rng.randint(1, 12) for _ in range(rng.randint(1, 12))}
+        assert packing.patterns(h, most) == one_by_one(h, most)
 
 
 @pytest.mark.parametrize("which", ["real", "odd", "empty"])
