@@ -133,9 +133,21 @@ def test_runs_levels_and_stream(spark):
         last = {t: i for i, t, *_ in rows}
         assert got == {i for t, i in last.items() if t not in seen}
         seen |= set(last)
+    assert [len(level) for level in state.levels] == [1, 2]
+    state._compact()
     assert [len(level) for level in state.levels] == [1, 0, 1]
-    assert state.totals().count() == len(seen)
-    assert state.totals().agg(F.sum("n_docs")).first()[0] == 30
+    runs = [{(r.h1, r.h2) for r in run.collect()} for run in state.runs()]
+    assert sum(map(len, runs)) == len(set.union(*runs)) == len(seen)
+    plan = state.fresh(line_dedup.line_table(docs(spark)).select("h1", "h2").distinct())._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("LeftAnti") == 2 and plan.count("Bucketed: true") == 2
+
+
+def test_runs_decide(real, monkeypatch):
+    """Without the anti-join no key of a later batch is known to be a repeat, and lines that must go stay."""
+    right = {r.doc_id: r.n_dropped for r in line_dedup.digest(real).collect()}
+    monkeypatch.setattr(line_dedup.LineRuns, "fresh", lambda self, keys: keys)
+    wrong = {r.doc_id: r.n_dropped for r in line_dedup.digest(real).collect()}
+    assert sum(wrong.values()) < sum(right.values())
 
 
 def test_clean_keeps_columns(spark):
