@@ -133,8 +133,6 @@ def test_runs_levels_and_stream(spark):
         last = {t: i for i, t, *_ in rows}
         assert got == {i for t, i in last.items() if t not in seen}
         seen |= set(last)
-    assert [len(level) for level in state.levels] == [1, 2]
-    state._compact()
     assert [len(level) for level in state.levels] == [1, 0, 1]
     runs = [{(r.h1, r.h2) for r in run.collect()} for run in state.runs()]
     assert sum(map(len, runs)) == len(set.union(*runs)) == len(seen)
