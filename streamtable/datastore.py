@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import datetime as dt
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -12,8 +11,8 @@ from pyspark.sql import types as T
 from streamtable.errors import StreamtableError, TableKindError, TableNotFound
 from streamtable.frame import Frame
 from streamtable.functions import scalar
-from streamtable.plans import statements
-from streamtable.plans.registry import DEFAULT_CATALOG, DEFAULT_SCHEMA, Registry
+from streamtable.plans import dialect, statements
+from streamtable.plans.registry import DEFAULT_CATALOG, DEFAULT_SCHEMA, Registry, new_id
 from streamtable.sources.store import Store
 from streamtable.sources.topic import Topic, View
 from streamtable.types import TopicInfo, dtype_of
@@ -51,26 +50,17 @@ class Query:
 
     def stream(self, batch_rows: int = 1024) -> Iterator[pa.RecordBatch]:
         """Result batches; a partition at a time is on the driver."""
-        from pyspark.sql.pandas.types import to_arrow_schema
-
-        kind = self.df.schema
-        schema = to_arrow_schema(kind)
-        zoned = [isinstance(f.dataType, T.TimestampType) for f in kind.fields]
-
-        def batch(rows: list) -> pa.RecordBatch:
-            columns = [[r[k] for r in rows] for k in range(len(kind.fields))]
-            # Rows hold times of the driver's zone.
-            columns = [[v and v.astimezone(dt.timezone.utc) for v in c] if z else c for c, z in zip(columns, zoned)]
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
-
-        held: list = []
-        for row in self.df.toLocalIterator(prefetchPartitions=True):
-            held.append(row)
-            if len(held) == batch_rows:
-                yield batch(held)
-                held = []
-        if held:
-            yield batch(held)
+
+        def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for k in range(0, batch.num_rows, batch_rows):
+                    out = pa.BufferOutputStream()
+                    with pa.ipc.new_stream(out, batch.schema) as writer:
+                        writer.write_batch(batch.slice(k, batch_rows))
+                    yield pa.RecordBatch.from_arrays([pa.array([out.getvalue().to_pybytes()], pa.binary())], names=["batch"])
+
+        for row in self.df.mapInArrow(packed, "batch binary").toLocalIterator(prefetchPartitions=True):
+            yield from pa.ipc.open_stream(bytes(row[0]))
 
     def __iter__(self) -> Iterator[Frame]:
         for batch in self.stream():
@@ -187,12 +177,19 @@ class Datastore:
         full = self.resolve(name)
         indices = [[x, True] if isinstance(x, str) else [x[0], bool(x[1])] for x in index]
         definition = {"kind": "view", "query": query, "catalog": self.catalog, "schema": self.schema, "materialized": materialize, "indices": indices}
-        new, old = self.registry.create_table(full, definition, if_not_exists, or_replace)
+        if materialize and not (if_not_exists and self.registry.has(full)):
+            # Its rows are there before its name is.
+            definition["id"] = new_id()
+            View(self, full, definition).refresh()
+        try:
+            new, old = self.registry.create_table(full, definition, if_not_exists, or_replace)
+        except Exception:
+            self._clear(definition if "id" in definition else None)
+            raise
+        if new["id"] != definition.get("id", new["id"]):  # another was first
+            self._clear(definition)
         self._clear(old)
-        view = self._table(full)
-        if materialize and not self.registry.store.exists(view._folder()):
-            view.refresh()
-        return view
+        return self._table(full)
 
     def drop(self, name: str, kind: str, if_exists: bool = False) -> None:
         self._clear(self.registry.drop_table(self.resolve(name), kind, if_exists))
@@ -245,7 +242,7 @@ class Datastore:
             else:
                 df = table.read()
             df.createOrReplaceTempView(bound)
-        return self.session.sql(statements.bound(self.registry, sql, catalog, schema))
+        return self.session.sql(dialect.rewrite(statements.bound(self.registry, sql, catalog, schema)))
 
     def information_schema(self, catalog: str, name: str) -> DataFrame:
         """Tables, columns, views, schemata and df_settings of a catalog."""

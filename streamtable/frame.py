@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import from_arrow_type
 
-from streamtable.errors import DataTypeError
+from streamtable.errors import DataTypeError, ShapeError
 from streamtable.types import SHAPE_KEY, DType, dtype_of
 
 
@@ -45,20 +47,26 @@ class FrameColumn:
 
     def to_numpy(self) -> np.ndarray:
         """The values; masked where null, tensors with their shape."""
-        rows = self._values.to_pylist()
-        shape = self.row_shape
+        shape, values = self.row_shape, self._values
         if shape is None:
-            return _masked(rows, (len(rows),))
+            return _masked(values, (len(values),))
+        if not values.null_count:
+            return _masked(pa.chunked_array([c.flatten() for c in values.chunks], values.type.value_type), (len(values), *shape))
         n = int(np.prod(shape))
-        return _masked([x for r in rows for x in (r if r is not None else [None] * n)], (len(rows), *shape))
+        return _masked(pa.chunked_array([pa.array([x for r in values.to_pylist() for x in (r if r is not None else [None] * n)], values.type.value_type)]), (len(values), *shape))
 
 
-def _masked(values: list, shape: tuple[int, ...]) -> np.ndarray:
-    gone = [v is None for v in values]
-    if not any(gone):
-        return np.array(values).reshape(shape)
-    fill = next((v for v in values if v is not None), 0)
-    return np.ma.masked_array(np.array([fill if v is None else v for v in values]).reshape(shape), np.array(gone).reshape(shape))
+def _masked(values: pa.ChunkedArray, shape: tuple[int, ...]) -> np.ndarray:
+    kind = values.type
+    if pa.types.is_integer(kind) or pa.types.is_floating(kind) or pa.types.is_boolean(kind):
+        if not values.null_count:
+            return values.to_numpy().reshape(shape)
+        return np.ma.masked_array(values.fill_null(pa.scalar(0).cast(kind)).to_numpy().reshape(shape), values.is_null().to_numpy().reshape(shape))
+    rows = values.to_pylist()
+    if not values.null_count:
+        return np.array(rows).reshape(shape)
+    fill = next((v for v in rows if v is not None), 0)
+    return np.ma.masked_array(np.array([fill if v is None else v for v in rows]).reshape(shape), np.array([v is None for v in rows]).reshape(shape))
 
 
 class Frame:
@@ -71,6 +79,32 @@ class Frame:
     def of(cls, df: DataFrame) -> "Frame":
         return cls(df.toArrow(), df.schema)
 
+    @classmethod
+    def of_arrays(cls, **arrays) -> "Frame":
+        """A frame from arrays by name, axis 0 being the rows; the first gives their number. Other axes make a tensor column."""
+        n = len(next(iter(arrays.values())))
+        fields, values = [], []
+        for name, x in arrays.items():
+            x = x if isinstance(x, np.ma.MaskedArray) else np.asarray(x)
+            if len(x) != n:
+                raise ShapeError(f"{name} has {len(x)} rows, the first column {n}")
+            mask = np.ma.getmaskarray(x).ravel() if isinstance(x, np.ma.MaskedArray) else None
+            flat = pa.array(np.ma.getdata(x).ravel(), mask=mask, from_pandas=False)
+            kind = from_arrow_type(flat.type)
+            if x.ndim > 1:
+                width = int(np.prod(x.shape[1:]))
+                flat = pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * width, flat)
+                fields.append(T.StructField(name, T.ArrayType(kind, True), True, {SHAPE_KEY: list(x.shape[1:])}))
+            else:
+                fields.append(T.StructField(name, kind, True))
+            values.append(flat)
+        return cls(pa.Table.from_arrays(values, names=list(arrays)), T.StructType(fields))
+
+    def to_df(self, spark: SparkSession) -> DataFrame:
+        """The frame as a DataFrame, with its shapes."""
+        df = spark.createDataFrame(self._table)
+        return df.select(*(F.col(f"`{f.name}`").cast(f.dataType).alias(f.name, metadata=f.metadata) for f in self.schema.fields))
+
     @property
     def columns(self) -> list[str]:
         return self.schema.names

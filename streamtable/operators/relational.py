@@ -6,20 +6,45 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def asof_join(left: DataFrame, right: DataFrame, time: str, by: list[str] | str = (), columns: list[str] | None = None, strict: bool = False) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, time: str, by: list[str] | str = (), columns: list[str] | None = None, strict: bool = False, ranges: int = 1) -> DataFrame:
     """Each left row with the columns of the last right row of the same `by` at or before its time (strict: before).
 
     Both sides are put together and sorted once by key and time, and the last right row seen is carried on: one shuffle, and no
     pairs. Nulls in the key match each other. Without such a row the right columns are null; of right rows at one time the one
     with the largest columns counts. A left row's own columns keep their names, so right ones must differ.
+
+    A key's rows go to one task. Where few keys hold most rows, or there is no key, cut time into `ranges` of about as many right
+    rows: tasks then take a key's range each, and the last right row before a range comes from one row for each key and range.
     """
     by = [by] if isinstance(by, str) else list(by)
     columns = columns or [c for c in right.columns if c not in (*by, time)]
     packed_left = left.select(*by, F.col(time).alias("_t"), F.lit(0 if strict else 1).alias("_side"), F.struct(*left.columns).alias("_row"), F.lit(None).cast(right.select(F.struct(*columns)).schema[0].dataType).alias("_found"))
     packed_right = right.select(*by, F.col(time).alias("_t"), F.lit(1 if strict else 0).alias("_side"), F.lit(None).cast(packed_left.schema["_row"].dataType).alias("_row"), F.struct(*columns).alias("_found"))
-    order = Window.partitionBy(*by).orderBy(F.col("_t").asc_nulls_first(), "_side", F.col("_found").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    both = packed_left.unionByName(packed_right).withColumn("_last", F.last("_found", ignorenulls=True).over(order))
-    return both.where(F.col("_row").isNotNull()).select("_row.*", *(F.col(f"_last.{c}").alias(c) for c in columns))
+    cuts = _cuts(right, time, ranges)
+    part = F.lit(0)
+    for cut in cuts:
+        part = part + F.when(F.col("_t") > F.lit(cut), 1).otherwise(0)
+    both = packed_left.unionByName(packed_right).withColumn("_range", part)
+    order = Window.partitionBy(*by, "_range").orderBy(F.col("_t").asc_nulls_first(), "_side", F.col("_found").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = both.withColumn("_last", F.last("_found", ignorenulls=True).over(order)).where(F.col("_row").isNotNull())
+    if cuts:
+        # At most `ranges` rows a key, from partial aggregates.
+        grid = both.groupBy(*by, "_range").agg(F.max(F.when(F.col("_found").isNotNull(), F.struct("_t", "_found"))).alias("_end"))
+        before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+        grid = grid.select(*(F.col(c).alias(f"_k{k}") for k, c in enumerate(by)), F.col("_range").alias("_r"), F.last("_end._found", ignorenulls=True).over(before).alias("_before"))
+        on = F.col("_range") == F.col("_r")
+        for k, c in enumerate(by):
+            on = on & F.col(c).eqNullSafe(F.col(f"_k{k}"))
+        seen = seen.join(grid, on, "left").withColumn("_last", F.coalesce("_last", "_before"))
+    return seen.select("_row.*", *(F.col(f"_last.{c}").alias(c) for c in columns))
+
+
+def _cuts(right: DataFrame, time: str, ranges: int) -> list:
+    """Times that cut the right rows into about equal ranges."""
+    if ranges < 2:
+        return []
+    found = right.agg(F.percentile_approx(time, [k / ranges for k in range(1, ranges)], 10_000)).first()[0]
+    return sorted(set(found or []))
 
 
 def range_join(left: DataFrame, right: DataFrame, point: str, start: str, end: str, width: float) -> DataFrame:

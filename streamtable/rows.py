@@ -5,11 +5,14 @@ from __future__ import annotations
 import dataclasses
 import datetime as dt
 from collections.abc import Iterator
+from functools import reduce
 from typing import TYPE_CHECKING, Annotated, get_args, get_origin, get_type_hints
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from streamtable.errors import DataTypeError
 from streamtable.types import SHAPE_KEY, Column, DType, bool_, column, float64, int64, spark_value, string, timestamp
@@ -65,12 +68,18 @@ def flatten(value) -> list:
 
 
 class Publisher:
-    """Buffers rows on the driver and appends them as a shard when `buffer_rows` are there, on flush and on close."""
+    """Buffers rows on the driver and appends them as a shard when `buffer_rows` are there, on flush and on close.
+
+    Reads of the topic in this process see what is buffered.
+    """
 
     def __init__(self, topic: "Topic", buffer_rows: int):
         self.topic, self.buffer_rows = topic, buffer_rows
         self._rows: list[tuple] = []
+        self._tables: list[pa.Table] = []
         self._closed = False
+        self._open = topic.registry.publishers.setdefault(topic.id, [])
+        self._open.append(self)
 
     def __enter__(self) -> "Publisher":
         return self
@@ -78,6 +87,9 @@ class Publisher:
     def __exit__(self, kind, *_) -> None:
         if kind is None:
             self.close()
+        elif self in self._open:  # what is held is given up
+            self._closed = True
+            self._open.remove(self)
 
     def _complete(self, values: tuple, named: dict, stamp) -> list:
         """Values in the order of the columns, with the time put first if it is left out."""
@@ -107,7 +119,7 @@ class Publisher:
             if v is None and c.required:
                 raise DataTypeError(f"column {c.name} is required")
         self._rows.append(tuple(spark_value(c, v) for c, v in zip(self.topic.info.columns, done)))
-        if len(self._rows) >= self.buffer_rows:
+        if len(self) >= self.buffer_rows:
             self.flush()
 
     def write_batch(self, *arrays, **named) -> None:
@@ -117,20 +129,65 @@ class Publisher:
         done = self._complete(arrays, named, lambda: [now()] * n)
         if any(x is not None and len(x) != n for x in done):
             raise DataTypeError("the arrays have different lengths")
-        names = [c.name for c in self.topic.info.columns]
-        for k in range(n):
-            self.write(**{c: x[k] if x is not None else None for c, x in zip(names, done)})
+        if self._closed:
+            raise ValueError("the publisher is closed")
+        columns = self.topic.info.columns
+        schema = to_arrow_schema(self.topic.schema)
+        arrays = [_arrow(c, x, n, f.type) for c, x, f in zip(columns, done, schema)]
+        for c, x in zip(columns, arrays):
+            if x.null_count and c.required:
+                raise DataTypeError(f"column {c.name} is required")
+        self._tables.append(pa.Table.from_arrays(arrays, names=[c.name for c in columns]))
+        if len(self) >= self.buffer_rows:
+            self.flush()
+
+    def __len__(self) -> int:
+        """The number of rows that are held."""
+        return len(self._rows) + sum(t.num_rows for t in self._tables)
+
+    def held(self) -> DataFrame | None:
+        """The rows that aren't appended yet."""
+        session, schema = self.topic.session, self.topic.schema
+        parts = [session.createDataFrame(list(self._rows), schema)] if self._rows else []
+        if self._tables:
+            parts.append(session.createDataFrame(pa.concat_tables(self._tables)))
+        return reduce(DataFrame.unionByName, parts) if parts else None
 
     def flush(self) -> int:
-        if not self._rows:
+        df = self.held()
+        if df is None:
             return 0
-        rows, self._rows = self._rows, []
-        return self.topic.append(self.topic.session.createDataFrame(rows, self.topic.schema))
+        rows, tables, self._rows, self._tables = self._rows, self._tables, [], []
+        try:
+            return self.topic.append(df)
+        except BaseException:
+            self._rows, self._tables = rows + self._rows, tables + self._tables
+            raise
 
     def close(self) -> None:
         if not self._closed:
             self.flush()
             self._closed = True
+            if self in self._open:
+                self._open.remove(self)
+
+
+def _arrow(c: Column, values, n: int, kind: pa.DataType) -> pa.Array:
+    """A column's values, axis 0 being the rows, as Arrow has them: numpy's buffers where they can be taken over."""
+    if values is None:
+        return pa.nulls(n, kind)
+    x = values if isinstance(values, np.ndarray) else None
+    if c.row_shape is not None and x is None and all(v is not None for v in values):
+        x = np.ma.stack(values) if any(isinstance(v, np.ma.MaskedArray) for v in values) else np.asarray(values)
+    if x is None or x.dtype.kind not in "iufb":
+        return pa.array([spark_value(c, v) for v in values], kind)
+    mask = np.ma.getmaskarray(x).ravel() if isinstance(x, np.ma.MaskedArray) else None
+    flat = pa.array(np.ascontiguousarray(np.ma.getdata(x)).ravel(), mask=mask)
+    if c.row_shape is None:
+        return flat.cast(kind)
+    if x.shape[1:] != c.row_shape:
+        raise DataTypeError(f"{c.name} has rows of shape {c.row_shape}, not {x.shape[1:]}")
+    return pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * c.size, flat.cast(kind.value_type))
 
 
 def read_rows(df: DataFrame, cls=None) -> Iterator:

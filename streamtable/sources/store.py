@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -48,17 +49,37 @@ class Store:
             stream.close()
 
     def write_json(self, path: str, value: dict) -> None:
-        """Create a file; ConcurrentChange if it is there already."""
-        try:
-            out = self._fs.create(self._at(path), False)
-        except Exception as e:
-            if "AlreadyExists" in str(e) or "already exists" in str(e):
-                raise ConcurrentChange(path) from None
-            raise
+        """Create a file, which shows whole or not at all; ConcurrentChange if it is there already.
+
+        It is written beside its place and moved there: by a link in a local file system and by a rename elsewhere, both of which
+        fail if the place is taken. That holds in HDFS and what behaves like it. Object stores without an exclusive rename
+        leave a short gap between the look and the move, so there one process at a time may change a datastore.
+        """
+        folder, _, name = path.rpartition("/")
+        beside = f"{folder}/.{name}-{uuid.uuid4().hex}"
+        out = self._fs.create(self._at(beside), False)
         try:
             out.write(bytearray(json.dumps(value, sort_keys=True).encode()))
         finally:
             out.close()
+        try:
+            if not self._place(beside, path):
+                raise ConcurrentChange(path)
+        finally:
+            self._fs.delete(self._at(beside), False)
+
+    def _place(self, beside: str, path: str) -> bool:
+        """Put a written file in its place, which must be free."""
+        if self._fs.getScheme() != "file":
+            return not self.exists(path) and self._fs.rename(self._at(beside), self._at(path))
+        local = lambda x: self._jvm.java.nio.file.Paths.get(self._at(x).toUri().getPath(), self.spark.sparkContext._gateway.new_array(self._jvm.String, 0))
+        try:
+            self._jvm.java.nio.file.Files.createLink(local(path), local(beside))
+            return True
+        except Exception as e:
+            if "FileAlreadyExists" in str(e):
+                return False
+            raise
 
     def rename(self, old: str, new: str) -> None:
         self._fs.mkdirs(self._at(new).getParent())

@@ -1,7 +1,9 @@
 """Topics: append-only tables of Parquet shards, a time column first.
 
-A shard is a folder with the Parquet files of one append. It is written elsewhere, renamed into `live/` in one step, and counts
-for batch reads once the registry's log lists it. Streams read `live/` as a file source, so what is appended later reaches them.
+A shard is a folder with the Parquet files of one append. It is written into `staged/`, counts once the registry's log lists it,
+and is then renamed into `live/` in one step; whoever reads or writes the topic next finishes a rename that was left undone.
+Streams read `live/` as a file source, so what is appended later reaches them, and nothing that wasn't committed. A batch read also
+has the rows that open publishers of its process still hold.
 Compaction writes into `compacted/`, which no running stream takes up, and swaps the list in one transaction; replaced shards stay
 in `live/` until vacuum.
 """
@@ -10,7 +12,7 @@ from __future__ import annotations
 
 from typing import TYPE_CHECKING
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from streamtable.errors import ConcurrentChange, TableKindError
@@ -41,7 +43,20 @@ class Topic:
     def shards(self) -> list[dict]:
         """Committed shards: id, path and rows."""
         self.registry.refresh()
-        return self.registry.table(self.name)["shards"]
+        shards = self.registry.table(self.name)["shards"]
+        self._settle(shards)
+        return shards
+
+    def _settle(self, shards: list[dict]) -> None:
+        """Rename committed shards that are still where they were written."""
+        store, known = self.registry.store, {s["id"] for s in shards}
+        for name in store.names(f"{self.root}/staged"):
+            if name in known:
+                try:
+                    store.rename(f"{self.root}/staged/{name}", f"{self.root}/live/{name}")
+                except Exception:
+                    if not store.exists(f"{self.root}/live/{name}"):  # not by another handle either
+                        raise
 
     def _folder(self, shard: dict) -> str:
         return f"{self.root}/{shard['path']}"
@@ -49,12 +64,14 @@ class Topic:
     # Reading
 
     def read(self) -> DataFrame:
-        """All committed rows. Filters, columns and limits reach the Parquet scan."""
+        """All committed rows, and those that open publishers of this process hold. Filters, columns and limits reach the scan."""
+        held = [df for p in list(self.registry.publishers.get(self.id, ())) if (df := p.held()) is not None]
         paths = [] if self.info.temporary else [self._folder(s) for s in self.shards()]
-        if not paths:
-            return self.session.createDataFrame([], self._stored())
         # The reader takes stored columns as nullable; the schema's metadata is put back, as reading drops none of it.
-        return self.session.read.schema(self._stored()).parquet(*paths)
+        out = self.session.read.schema(self._stored()).parquet(*paths) if paths else self.session.createDataFrame([], self._stored())
+        for df in held:
+            out = out.unionByName(self.info.conform(df).to(self._stored()))
+        return out
 
     def _stored(self):
         from pyspark.sql import types as T
@@ -101,21 +118,36 @@ class Topic:
 
     # Writing
 
-    def append(self, df: DataFrame) -> int:
-        """Append a DataFrame's rows as one shard; returns their number. Without rows there is no shard."""
+    def append(self, df: DataFrame, mark: tuple[str, int] | None = None) -> int:
+        """Append a DataFrame's rows as one shard; returns their number. Without rows there is no shard.
+
+        With a mark, a stream's name and the number of its batch, nothing is appended if that batch is there already.
+        """
         shard = new_id()
-        staged = f"{self.root}/staged/{shard}"
-        rows = self.info.conform(df).sortWithinPartitions(*self.info.order())
+        store, staged = self.registry.store, f"{self.root}/staged/{shard}"
+        seen = Observation()
+        rows = self.info.conform(df).observe(seen, F.count(F.lit(1)).alias("n")).sortWithinPartitions(*self.info.order())
         writer = rows.write.option("maxRecordsPerFile", self.info.config.target_shard_rows).option("parquet.block.size", self.info.config.row_group_bytes)
         writer.parquet(staged)
-        n = self.session.read.schema(self._stored()).parquet(staged).count()
-        store = self.registry.store
+        n = seen.get.get("n", 0)
         if not n:
             store.delete(staged)
             return 0
-        store.rename(staged, f"{self.root}/live/{shard}")
-        if not self.info.temporary:
-            self.registry.swap_shards(self.name, self.id, [{"id": shard, "path": f"live/{shard}", "rows": n}])
+        if self.info.temporary:
+            store.rename(staged, f"{self.root}/live/{shard}")
+            return n
+        try:
+            new = self.registry.swap_shards(self.name, self.id, [{"id": shard, "path": f"live/{shard}", "rows": n}], mark=mark)
+        except Exception:
+            self.registry.refresh()  # the commit may have been written all the same
+            t = self.registry.table(self.name) if self.registry.has(self.name) else {"shards": []}
+            if shard not in {s["id"] for s in t["shards"]}:
+                store.delete(staged)
+            raise
+        if not new:
+            store.delete(staged)
+            return 0
+        self._settle([{"id": shard}])
         return n
 
     def publish(self, buffer_rows: int | None = None) -> "Publisher":
@@ -125,14 +157,13 @@ class Topic:
         return Publisher(self, buffer_rows or self.info.config.write_batch_rows)
 
     def append_stream(self, stream: DataFrame, checkpoint: str, **trigger):
-        """Append a stream's micro-batches; a batch that is retried after a failure is appended once."""
-        done = f"{checkpoint.rstrip('/')}-appended"
-        store = self.registry.store
+        """Append a stream's micro-batches, each once: its number is committed together with its rows under the checkpoint's name."""
+        name = checkpoint.rstrip("/")
 
         def batch(df: DataFrame, number: int) -> None:
-            mark = f"{done}/{number}.json"
-            if not store.exists(mark):
-                store.write_json(mark, {"rows": self.append(df)})
+            self.registry.refresh()
+            if self.info.temporary or self.registry.table(self.name).get("marks", {}).get(name, -1) < number:
+                self.append(df, (name, number))
 
         return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
@@ -141,6 +172,7 @@ class Topic:
     def compact(self) -> int:
         """Merge shards with fewer rows than the minimum, up to the target size each; returns how many were replaced."""
         small = [s for s in self.shards() if s["rows"] < self.info.config.min_shard_rows]
+        live = set(self.registry.store.names(f"{self.root}/live"))
         groups: list[list[dict]] = []
         size = 0
         for s in small:
@@ -161,7 +193,8 @@ class Topic:
             n_files = -(-rows // self.info.config.min_shard_rows)
             out = (df.coalesce(1) if n_files == 1 else df.repartitionByRange(n_files, F.col(f"`{self.info.time_column}`"))).sortWithinPartitions(*self.info.order())
             out.write.option("parquet.block.size", self.info.config.row_group_bytes).parquet(f"{self.root}/{path}")
-            of = [x for s in group for x in (s.get("of") or [s["id"]])]
+            # What streams must leave out: merged shards whose files vacuum hasn't removed yet.
+            of = [x for s in group for x in (s.get("of") or [s["id"]]) if x in live]
             try:
                 self.registry.swap_shards(self.name, self.id, [{"id": shard, "path": path, "rows": rows, "of": of}], [s["id"] for s in group])
             except ConcurrentChange:
@@ -172,7 +205,8 @@ class Topic:
 
     def vacuum(self, older_than_s: float = 7 * 86400) -> list[str]:
         """Delete folders that no transaction lists and that are old enough for no reader or writer to need them."""
-        store, kept, gone = self.registry.store, {s["path"] for s in self.shards()}, []
+        store, shards, gone = self.registry.store, self.shards(), []
+        kept = {s["path"] for s in shards} | {f"staged/{s['id']}" for s in shards}
         if self.info.temporary:
             return gone
         for folder in ("staged", "live", "compacted"):
@@ -225,6 +259,9 @@ class View:
             df = df.sortWithinPartitions(*(F.col(f"`{n}`").asc_nulls_first() if up else F.col(f"`{n}`").desc_nulls_first() for n, up in self.indices))
         df.write.parquet(f"{path}/staged-{version}")
         store.rename(f"{path}/staged-{version}", f"{path}/{version}")
+        # The version before stays for those who read it now.
+        for name in [n for n in store.names(path) if n.startswith("v")][:-2]:
+            store.delete(f"{path}/{name}")
 
     def append(self, df: DataFrame) -> int:
         raise TableKindError(f"{'.'.join(self.name)} is a view")

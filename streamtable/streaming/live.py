@@ -25,14 +25,19 @@ def sessions(df: DataFrame, time: str, gap: str, aggregates: dict[str, Column],
 
 
 def stream_join(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, within: str, late: str) -> DataFrame:
-    """Rows of two streams with equal keys and times no further apart than `within`; state older than that is let go."""
+    """Rows of two streams with equal keys and times no further apart than `within`; state older than that is let go.
+
+    Keys come once, then the left's other columns, then the right's; those whose names the left has too begin with `right_`.
+    """
     a = left.withWatermark(left_time, late).alias("l")
     b = right.withWatermark(right_time, late).alias("r")
     near = F.expr(f"r.`{right_time}` BETWEEN l.`{left_time}` - INTERVAL {within} AND l.`{left_time}` + INTERVAL {within}")
     on = near
     for k in keys:
         on = on & (F.col(f"l.`{k}`") == F.col(f"r.`{k}`"))
-    return a.join(b, on)
+    rest = [c for c in right.columns if c not in keys]
+    own = [F.col(f"r.`{c}`").alias(f"right_{c}" if c in left.columns else c) for c in rest]
+    return a.join(b, on).select(*(F.col(f"l.`{c}`") for c in left.columns), *own)
 
 
 def run_available(stream: DataFrame, table: str, checkpoint: str, mode: str = "append") -> DataFrame:

@@ -16,6 +16,17 @@ def test_asof(spark):
     assert relational.asof_join(left.limit(0), right, "t", "k").count() == 0
 
 
+def test_asof_ranges(spark):
+    """Cut into ranges of time, with a key or without, and with ties at the cuts, it is the same join."""
+    left = spark.range(400).selectExpr("id AS l", "IF(id % 3 = 0, NULL, id % 3) AS k", "CAST(id * 37 % 100 AS INT) AS t")
+    right = spark.range(120).selectExpr("IF(id % 3 = 0, NULL, id % 3) AS k", "CAST(20 + id * 13 % 60 AS INT) AS t", "id AS v")
+    for by in ("k", []):
+        for strict in (False, True):
+            found = [sorted(map(tuple, relational.asof_join(left if by else left.drop("k"), right if by else right.drop("k"), "t", by, strict=strict, ranges=n).select("l", "v").collect())) for n in (1, 7, 200)]
+            assert found[0] == found[1] == found[2]
+    assert relational.asof_join(left, right.limit(0), "t", "k", ranges=5).where("v IS NULL").count() == 400
+
+
 def test_range_join(spark):
     points = spark.createDataFrame([(float(k),) for k in range(-5, 30)], "p double")
     spans = spark.createDataFrame([("a", 0.0, 10.0), ("b", 5.0, 25.5), ("c", 3.0, 3.0), ("d", -4.0, -1.0)], "n string, lo double, hi double")
@@ -64,4 +75,6 @@ def test_stream_windows_match_batch(spark, tmp_path):
     got = live.run_available(gaps(stream), "w2", str(tmp_path / "c2"), "complete")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, gaps(spark.createDataFrame(rows, schema)).collect()))
     joined = live.stream_join(stream, stream, ["k"], "t", "t", "5 MINUTES", "1 hour")
-    assert joined.isStreaming
+    assert joined.columns == ["k", "t", "v", "right_t", "right_v"]
+    got = live.run_to_parquet(joined, str(tmp_path / "o3"), str(tmp_path / "c3"))
+    assert sorted((r.k, r.v, r.right_v) for r in got.collect()) == sorted((k, v, v) for k, _, v in rows)
