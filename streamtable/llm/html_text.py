@@ -6,8 +6,9 @@ emitted in the order of the page: blocks on lines of their own with the blank li
 and indentation, preformatted text as it is, and table cells aligned in columns.
 
 Defined cases: null or empty HTML gives empty text; text without tags is rendered as one block; unclosed comments, tags and raw
-elements end with the page; nesting beyond MAX_DEPTH is flattened, not lost, and what a table without room for its parts holds becomes plain lines; repeated rows give repeated rows; an empty table
-gives an empty result; columns other than the id and the HTML are ignored.
+elements end with the page; nesting beyond MAX_DEPTH is flattened, not lost, and what a table without room for its parts holds becomes plain lines; a very long
+page is rendered whole, its tree held by one task; repeated rows give repeated rows; an empty table gives an empty result; columns
+other than the id and the HTML are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +31,8 @@ MAX_DEPTH = 200
 TABLE_LEVELS = 4
 #: Cells are padded to their column's width, but not beyond so many characters; longer ones run over.
 MAX_COLUMN = 60
-MAX_SPAN = 1000
+# The HTML standard's largest spans. A rowspan of 0 goes on to the end of the row's group, which no cell leaves.
+MAX_SPAN, MAX_DOWN = 1000, 65534
 
 # The HTML standard's sets of elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -69,8 +71,13 @@ IN_TABLE = frozenset("table tbody tfoot thead tr".split())
 #: No end tag but a table's own reaches beyond these.
 WALLS = frozenset("caption html table td template th".split())
 
-_TAG = re.compile(r"<(?:!--(.*?)(?:-->|--!>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(>|\Z)|[!?/][^>]*(?:>|\Z))", re.S)
-_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+# The standard's tokeniser states as one pattern: an attribute's name runs to a space, slash, = or >, and a quote opens a value only
+# right behind =. Atomic, as no other way to read a tag is tried.
+_VALUE = r"""\"[^"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^ \t\n\f\r>]*+"""
+_NAME = r"[^ \t\n\f\r/>][^ \t\n\f\r/>=]*+"
+_GAP = r"[ \t\n\f\r]*+"
+_TAG = re.compile(rf"<(?:!--(?:-?>|(.*?)(?:-->|--!>|\Z))|(/?)([a-zA-Z][^ \t\n\f\r/>]*+)((?>[ \t\n\f\r/]++|{_NAME}(?:{_GAP}={_GAP}(?:{_VALUE}))?+)*+)(>|\Z)|[!?/][^>]*+(?:>|\Z))", re.S)
+_ATTRIBUTE = re.compile(rf"({_NAME})(?:{_GAP}={_GAP}(?:\"([^\"]*)\"?|'([^']*)'?|([^ \t\n\f\r>]*)))?")
 _SPACES = re.compile(r"[ \t\n\f\r]+")
 _NOT_SHOWN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 
@@ -82,7 +89,11 @@ class Node:
         self.tag, self.attrs, self.children = tag, attrs, []
 
     def attributes(self) -> dict[str, str]:
-        return {m[1].lower(): html.unescape(next((g for g in m.groups()[1:] if g is not None), "")) for m in _ATTRIBUTE.finditer(self.attrs)}
+        """By lower-case name; of equal names the first counts."""
+        found: dict[str, str] = {}
+        for m in _ATTRIBUTE.finditer(self.attrs):
+            found.setdefault(m[1].lower(), html.unescape(next((g for g in m.groups()[1:] if g is not None), "")))
+        return found
 
 
 def parse(page: str) -> Node:
@@ -371,13 +382,16 @@ def width(s: str) -> int:
     return sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in s)
 
 
-def _rows(node: Node) -> Iterator[Node]:
-    """A table's rows in the order shown: head, bodies, foot."""
+def _rows(node: Node) -> Iterator[tuple[int, Node]]:
+    """A table's rows in the order shown, head, bodies, foot, each with the number of its group."""
     parts = [x for x in node.children if isinstance(x, Node) and visible(x)]
+    group, loose = 0, False
     for kinds in (("thead",), ("tbody", "tr"), ("tfoot",)):
         for x in parts:
             if x.tag in kinds:
-                yield from [x] if x.tag == "tr" else (r for r in x.children if isinstance(r, Node) and r.tag == "tr" and visible(r))
+                group += not (loose and x.tag == "tr")  # rows in no section make one group with their neighbours
+                loose = x.tag == "tr"
+                yield from [(group, x)] if loose else ((group, r) for r in x.children if isinstance(r, Node) and r.tag == "tr" and visible(r))
 
 
 def _leftovers(node: Node) -> Iterator[Node | str]:
@@ -410,8 +424,10 @@ def _table(node: Node) -> list[str]:
     taken: dict[int, int] = {}  # column: rows still covered from above
     rows: list[list[tuple[int, int, str, list[str]]]] = []
     widths: dict[int, int] = {}
-    for row in _rows(node):
-        column, cells, covered = 0, [], taken
+    last_group = 0
+    for group, row in _rows(node):
+        column, cells, covered = 0, [], taken if group == last_group else {}
+        last_group = group
         taken = {c: n - 1 for c, n in covered.items() if n > 1}
         for x in row.children:
             if not isinstance(x, Node) or x.tag not in ("td", "th"):
@@ -420,7 +436,8 @@ def _table(node: Node) -> list[str]:
                 column += 1
             a = x.attributes() if x.attrs else {}
             span = min(max(_int(a.get("colspan"), 1), 1), MAX_SPAN)
-            down = min(max(_int(a.get("rowspan"), 1), 1), MAX_SPAN)
+            down = min(_int(a.get("rowspan"), 1), MAX_DOWN)
+            down = MAX_DOWN if down == 0 else max(down, 1)
             if down > 1:
                 taken |= {c: down - 1 for c in range(column, column + span)}
             inner = Lines()
