@@ -11,12 +11,13 @@ before it. So every row gets its exact place in the whole order, without any win
 shards' counts, at most one apart (law `rows`). Only built-in functions are used.
 
 Defined cases: a null text has size 8 and CRC 0, null source or language sorts first, rows that are equal in all of id and text
-are interchangeable, an empty table gives an empty result, and other columns are ignored or, in `write`, carried.
+are interchangeable and, as no range can part them, read by one task, a few longs each; of a very long text only hashes are moved;
+an empty table gives an empty result, and other columns are ignored or, in `write`, carried.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from streamtable.llm.common import stage, whole, work_dir
@@ -24,6 +25,8 @@ from streamtable.llm.common import stage, whole, work_dir
 SHARDS = 24
 BITS = 5
 DIMENSIONS = ("source", "lang")
+#: Values of a dimension that are broadcast.
+BROADCAST_VALUES = 100_000
 
 
 def curve(spark: SparkSession) -> DataFrame:
@@ -67,13 +70,18 @@ def narrow(docs: DataFrame, path: str) -> DataFrame:
     return stage(
         docs.select(
             "doc_id", *DIMENSIONS, (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
-            F.md5(text).alias("text_hash"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("id_hash"),
+            _number(F.md5(text)).alias("text_hash"), _number(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("id_hash"),
         ),
         path,
     )
 
 
-def quantised(rows: DataFrame) -> DataFrame:
+def _number(md5: Column) -> Column:
+    """A hash's first 60 bits as a long, which sorts as its hex digits do."""
+    return F.conv(F.substring(md5, 1, 15), 16, 10).cast("long")
+
+
+def quantised(rows: DataFrame, root: str) -> DataFrame:
     """rows with q_<dimension> in 0 .. 2**BITS - 1: values in order, as many rows to each number as values allow."""
     side = 1 << BITS
     for name in DIMENSIONS:
@@ -83,6 +91,9 @@ def quantised(rows: DataFrame) -> DataFrame:
         place = F.coalesce(F.sum("_n").over(before), F.lit(0))
         values = values.select("_v", place.alias("_b"), F.sum("_n").over(everywhere).alias("_t"))
         values = values.select("_v", F.expr(f"cast({side} * _b div _t AS int)").alias(f"q_{name}"))
+        values = stage(values.select("_v", f"q_{name}"), f"{root}/values-{name}")
+        # Broadcast only where few values are; else the join is the planner's.
+        values = F.broadcast(values) if values.count() <= BROADCAST_VALUES else values
         rows = rows.join(values, F.col(name).eqNullSafe(F.col("_v")), "left").drop("_v")
     return rows.withColumn("q_size", F.least(F.length(F.bin("size")), F.lit(side - 1)))
 
@@ -90,7 +101,7 @@ def quantised(rows: DataFrame) -> DataFrame:
 def ordered(docs: DataFrame, root: str) -> DataFrame:
     """narrow() rows with `place` on the curve and `rank`, the row's number in the whole order from 0, and `total`."""
     spark, side = docs.sparkSession, 1 << BITS
-    rows = quantised(narrow(docs, f"{root}/narrow"))
+    rows = quantised(narrow(docs, f"{root}/narrow"), root)
     rows = rows.withColumn("cell", F.col("q_source") * side * side + F.col("q_lang") * side + F.col("q_size"))
     # 32,768 rows of two ints, whatever the input.
     rows = rows.join(F.broadcast(curve(spark)), "cell").drop("cell", "q_source", "q_lang", "q_size")
@@ -125,10 +136,10 @@ def write(docs: DataFrame, path: str, n: int = SHARDS) -> None:
     # Rows of one id and text are interchangeable: number them on both sides.
     nth = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(1)))
     own = own.withColumn("_nth", nth("_id", "_hash"))
-    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("d"), F.md5(whole(F.col("text"))).alias("_hash2"))
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("d"), _number(F.md5(whole(F.col("text")))).alias("_hash2"))
     packed = packed.withColumn("_nth2", nth("d.doc_id", "_hash2"))
     both = packed.join(own, F.col("d.doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_hash2")) & (F.col("_nth") == F.col("_nth2")))
-    rows = both.repartitionByRange(n, "shard", "slot").sortWithinPartitions("shard", "slot").select("d.*", F.col("shard").alias("shard_id"))
+    rows = both.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").select("d.*", F.col("shard").alias("shard_id"))
     rows.write.mode("overwrite").partitionBy("shard_id").parquet(path)
 
 
