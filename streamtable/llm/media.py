@@ -5,12 +5,14 @@ gives the sum over any rectangle from four corners, with linear interpolation be
 share of it that lies in the target's pixel. An image is stored as a row of tiles, each an NPY file, one behind the other, and is
 put together again from those bytes. The difference hash compares neighbours in a 9 by 8 thumbnail.
 
-`digest` carries any text losslessly: its bytes become an 8-bit grey image of ROW pixels a row in a Netpbm file, which is decoded,
-cut into NPY tiles and stored; what it reports is read back from the stored tiles.
-
-Defined cases: a null text is an empty one, and an empty text is one row of zeros; equal texts give equal values; repeated rows
-give repeated rows; an empty table gives an empty result; in `store` an undecodable or null image gives nulls and its error, and
-other columns are ignored.
+`digest` carries any text losslessly: its bytes become an 8-bit grey image of ROW pixels a row, in a Netpbm file or, if its number
+of rows is odd, in a BMP file. That is decoded, cut into NPY tiles and written to a table of tiles; what `digest` reports is read
+back from that table.
+
+Defined cases: a null text is an empty one, and an empty text is one row of zeros; a very long text is one image, held whole by one
+task with its tiles, while resizing works on bands of its rows; equal texts give equal values; repeated rows give repeated rows; an
+empty table gives an empty result; in `store` a null image, an undecodable one, or one with samples above its maximum or beyond its
+palette gives nulls and its error, and other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from streamtable.llm.common import map_arrow
+from streamtable.llm.common import map_arrow, stage, work_dir
 from streamtable.llm.tokens import slices
 
 ROW = 64
@@ -60,6 +62,8 @@ def decode_netpbm(data: bytes) -> np.ndarray:
         return _sized(bits == 0, shape).astype(np.uint8) * 255
     if kind in (b"P2", b"P3"):
         values = np.array(re.sub(rb"#[^\n]*\n", b" ", data[at:]).split()[:n], np.int64)
+        if values.size and not 0 <= values.min() <= values.max() <= most:
+            raise ValueError("a sample is above the maximum")
         return _sized(values, shape).astype(np.uint8 if most < 256 else np.uint16)
     at += 1
     if kind == b"P4":
@@ -68,6 +72,8 @@ def decode_netpbm(data: bytes) -> np.ndarray:
         return (1 - np.unpackbits(rows, axis=1)[:, :width]) * np.uint8(255)
     sample = np.dtype("u1" if most < 256 else ">u2")
     values = np.frombuffer(data, sample, min(n, (len(data) - at) // sample.itemsize), at)
+    if most not in (255, 65535) and values.size and values.max() > most:
+        raise ValueError("a sample is above the maximum")
     return _sized(values, shape).astype(sample.newbyteorder("="), copy=False)
 
 
@@ -92,8 +98,13 @@ def decode_bmp(data: bytes) -> np.ndarray:
     if bits >= 24:
         return np.ascontiguousarray(raw[:, : width * bits // 8].reshape(rows, width, bits // 8)[:, :, 2::-1])
     colours = np.frombuffer(data, np.uint8, 4 * (used or 1 << bits), 14 + size).reshape(-1, 4)[:, 2::-1]
-    codes = np.unpackbits(raw, axis=1).reshape(rows, -1, bits)[:, :width]
-    return colours[codes @ (1 << np.arange(bits - 1, -1, -1))]
+    if bits == 8:
+        codes = raw[:, :width]
+    else:
+        codes = np.unpackbits(raw, axis=1).reshape(rows, -1, bits)[:, :width] @ (1 << np.arange(bits - 1, -1, -1))
+    if codes.max() >= len(colours):
+        raise ValueError("a pixel lies beyond the palette")
+    return colours[codes]
 
 
 def decode(data: bytes) -> np.ndarray:
@@ -105,25 +116,45 @@ def encode_pgm(samples: np.ndarray) -> bytes:
     return b"P5\n%d %d\n255\n" % samples.shape[::-1] + samples.tobytes()
 
 
+def encode_bmp(samples: np.ndarray) -> bytes:
+    """An 8-bit grey image as a BMP file with a palette of greys. Rows are a multiple of four pixels wide."""
+    height, width = samples.shape
+    palette = np.repeat(np.arange(256, dtype=np.uint8), 4).reshape(-1, 4)
+    palette[:, 3] = 0
+    start = 54 + palette.size
+    head = struct.pack("<2sIHHIIiiHHIIiiII", b"BM", start + samples.size, 0, 0, start, 40, width, height, 1, 8, 0, samples.size, 0, 0, 256, 0)
+    return head + palette.tobytes() + samples[::-1].tobytes()
+
+
 def grey(image: np.ndarray) -> np.ndarray:
     return image if image.ndim == 2 else image @ np.array([0.299, 0.587, 0.114])
 
 
-def area_resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
-    """A grey image's means over a grid of height x width equal rectangles."""
+def area_resize(image: np.ndarray, height: int, width: int, band: int = 4096) -> np.ndarray:
+    """A grey image's means over a grid of height x width equal rectangles. The integral image is made for a band of rows at a time."""
     rows, columns = image.shape
-    total = np.zeros((rows + 1, columns + 1))
-    np.cumsum(np.cumsum(image, axis=0, dtype=np.float64), axis=1, out=total[1:, 1:])
 
-    def at(edges: np.ndarray, table: np.ndarray) -> np.ndarray:
-        """The integral along axis 0 at places between pixels."""
-        whole = np.minimum(edges.astype(np.int64), len(table) - 2)
-        part = (edges - whole).reshape(-1, *[1] * (table.ndim - 1))
-        return table[whole] * (1 - part) + table[whole + 1] * part
-
-    down = at(np.arange(height + 1) * rows / height, total)
-    both = at(np.arange(width + 1) * columns / width, down.T).T
-    return np.diff(np.diff(both, axis=0), axis=1) / (rows * columns / (height * width))
+    def places(n: int, of: int) -> tuple[np.ndarray, np.ndarray]:
+        """Edges between the n parts of `of` pixels: whole pixels before, and the share of the next one."""
+        edges = np.arange(n + 1) * of / n
+        whole = np.minimum(edges.astype(np.int64), of - 1)
+        return whole, edges - whole
+
+    down, down_part = places(height, rows)
+    across, part = places(width, columns)
+    corners, above = np.zeros((height + 1, width + 1)), np.zeros(width + 1)
+    for top in range(0, rows, band):
+        strip = image[top : top + band]
+        sums = np.zeros((len(strip), columns + 1))
+        np.cumsum(strip, axis=1, dtype=np.float64, out=sums[:, 1:])
+        table = np.zeros((len(strip) + 1, width + 1))
+        np.cumsum(sums[:, across] * (1 - part) + sums[:, across + 1] * part, axis=0, out=table[1:])
+        table += above
+        here = (down >= top) & (down < top + len(strip))
+        k, share = down[here] - top, down_part[here, None]
+        corners[here] = table[k] * (1 - share) + table[k + 1] * share
+        above = table[-1]
+    return np.diff(np.diff(corners, axis=0), axis=1) / (rows * columns / (height * width))
 
 
 def difference_hash(image: np.ndarray) -> str:
@@ -177,8 +208,8 @@ def store(images: DataFrame, id_col: str, data_col: str, size: tuple[int, int] |
                     print_ = difference_hash(image)
                     image = area_resize(grey(image), *size) if size else image
                     row = [image.shape[0], image.shape[1], to_tiles(image), print_, None]
-                except ValueError as e:
-                    row = [None, None, None, None, str(e)]
+                except Exception as e:  # whatever a broken file leads to, it costs no other row
+                    row = [None, None, None, None, f"{type(e).__name__}: {e}"]
                 kinds = [pa.int32(), pa.int32(), pa.list_(pa.binary()), pa.string(), pa.string()]
                 yield pa.RecordBatch.from_arrays([one.column("id"), *(pa.array([x], t) for x, t in zip(row, kinds))], names=["id", "height", "width", "tiles", "hash", "error"])
 
@@ -186,28 +217,44 @@ def store(images: DataFrame, id_col: str, data_col: str, size: tuple[int, int] |
     return rows.withColumnRenamed("id", id_col)
 
 
-def digest(docs: DataFrame) -> DataFrame:
-    """The contract's columns; height, tiles and the Netpbm file's length besides."""
+def written(docs: DataFrame, root: str) -> DataFrame:
+    """The store of the texts' images: doc_id, n_bytes, source_bytes and tiles (an array of NPY files), as a table below root."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_tiles", "source_bytes"]
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()]
         for batch in batches:
             for part in slices(batch, "text"):
-                rows = [_carry((x.as_py() or "").encode()) for x in part.column("text")]
-                columns = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], names=["doc_id", *names])
+                n_bytes, sizes, tiles = [], [], []
+                for x in part.column("text"):
+                    text = (x.as_py() or "").encode()
+                    samples = np.frombuffer(text.ljust(max(ROW, -(-len(text) // ROW) * ROW), b"\0"), np.uint8).reshape(-1, ROW)
+                    source = encode_bmp(samples) if len(samples) % 2 else encode_pgm(samples)
+                    image = decode(source)
+                    n_bytes.append(len(text))
+                    sizes.append(len(source))
+                    tiles.append(to_tiles(image if image.ndim == 2 else image[:, :, 0]))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n_bytes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(tiles, pa.list_(pa.binary()))], names=["doc_id", "n_bytes", "source_bytes", "tiles"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return stage(map_arrow(rows, run, "doc_id bigint, n_bytes bigint, source_bytes bigint, tiles array<binary>"), f"{root}/tiles")
+
+
+def digest(docs: DataFrame, root: str | None = None) -> DataFrame:
+    """The contract's columns, read back from the stored tiles; their number and the source file's length besides."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_tiles"]
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+        for batch in batches:
+            rows = [_read(x.as_py()) for x in batch.column("tiles")]
+            columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "n_bytes", "source_bytes")), *columns], names=["doc_id", "n_bytes", "source_bytes", *names])
 
-    kind = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, n_tiles bigint, source_bytes bigint"
-    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, kind)
+    kind = "doc_id bigint, n_bytes bigint, source_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, n_tiles bigint"
+    return map_arrow(written(docs, root or work_dir(docs.sparkSession, "media")), run, kind)
 
 
-def _carry(text: bytes) -> tuple:
-    n = len(text)
-    payload = text.ljust(max(ROW, -(-n // ROW) * ROW), b"\0")
-    source = encode_pgm(np.frombuffer(payload, np.uint8).reshape(-1, ROW))
-    tiles = to_tiles(decode_netpbm(source))
+def _read(tiles: list[bytes]) -> tuple:
     stored = b"".join(tiles)
     back = from_tiles(stored, ROW)
     data = back.tobytes()
-    return n, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-TAIL:]), len(stored), hashlib.sha256(stored).hexdigest(), difference_hash(back), len(tiles), len(source)
+    return len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-TAIL:]), len(stored), hashlib.sha256(stored).hexdigest(), difference_hash(back), len(tiles)

@@ -1,7 +1,10 @@
 """Near-dedup, toxicity, media and HTML."""
 
 import hashlib
+import io
+import math
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -241,6 +244,53 @@ def test_media_digest(spark):
     assert media.digest(docs(spark, [])).count() == 0
 
 
+def brute_feature(payload):
+    """The difference hash from exact sums: each pixel counts by the share of it in a thumbnail's rectangle."""
+    a = np.frombuffer(payload, np.uint8).reshape(-1, 64).astype(float)
+
+    def shares(n, of):
+        out = np.zeros((n, of))
+        for k in range(n):
+            lo, hi = k * of / n, (k + 1) * of / n
+            for x in range(int(lo), min(of, math.ceil(hi))):
+                out[k, x] = max(0.0, min(hi, x + 1) - max(lo, x))
+        return out
+
+    small = shares(8, len(a)) @ a @ shares(9, 64).T / (len(a) * 64 / 72)
+    bits = [small[r, c + 1] - small[r, c] > 5e-7 for r in range(8) for c in range(8)]
+    near = [abs(small[r, c + 1] - small[r, c]) < 2e-6 for r in range(8) for c in range(8)]
+    return bits, near
+
+
+def test_media_is_recomputed(spark):
+    """Every reported value from the text itself, with the stored form made by numpy alone."""
+    df = spark.read.parquet(f"{DATA}/documents.parquet").unionByName(docs(spark), allowMissingColumns=True)
+    texts = {(r.doc_id, len((r.text or "").encode())): (r.text or "").encode() for r in df.collect()}
+    odd = 0
+    for r in media.digest(df).collect():
+        text = texts[r.doc_id, r.n_bytes]
+        payload = text + b"\0" * ((-len(text)) % 64 if text else 64)
+        assert (r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        a, stored = np.frombuffer(payload, np.uint8).reshape(-1, 64), io.BytesIO()
+        for k in range(0, len(a), 1024):
+            np.lib.format.write_array(stored, a[k : k + 1024], version=(1, 0))
+        assert (r.media_bytes, r.media_sha256, r.n_tiles) == (len(stored.getvalue()), hashlib.sha256(stored.getvalue()).hexdigest(), -(-len(a) // 1024))
+        bits, near = brute_feature(payload)
+        got = [int(r.feature, 16) >> (63 - k) & 1 for k in range(64)]
+        assert all(g == b or n for g, b, n in zip(got, bits, near))
+        odd += len(a) % 2
+    assert 0 < odd < df.count()
+
+
+def test_media_store_survives_anything(spark):
+    head = lambda bits, used: struct.pack("<2sIHHIIiiHHIIiiII", b"BM", 0, 0, 0, 54 + 4 * used, 40, 1, 1, 1, bits, 0, 0, 0, 0, used, 0)
+    bad = [None, b"", b"P2 1 1 255 700", b"P3 1 1 9 1 2 10", b"P5 1 1 9\n\x0a", b"P2 1 1 255 x", b"P5 99999999 99999999 255\nx", head(8, 2) + b"\0" * 8 + b"\x05\0\0\0", b"BM" + b"\xff" * 60, b"P6 2"]
+    rows = media.store(spark.createDataFrame(list(enumerate(bad)), "k int, img binary"), "k", "img").collect()
+    assert len(rows) == len(bad) and all(r.error and r.tiles is None for r in rows)
+    good = media.encode_bmp(np.arange(64, dtype=np.uint8).reshape(1, 64))
+    assert media.decode(good)[:, :, 0].tolist() == [list(range(64))] and len(good) == 54 + 1024 + 64
+
+
 def test_media_formats(spark):
     bits = np.array([[0, 255, 0], [255, 0, 255]])
     p1, p4 = b"P1\n# note\n3 2\n1 0 1\n0 1 0\n", b"P4 3 2\n" + bytes([0b10100000, 0b01000000])
@@ -262,6 +312,7 @@ def test_resize_and_tiles(h, w, to_h, to_w, seed):
     a = np.random.default_rng(seed).integers(0, 256, (h, w)).astype(np.uint8)
     want = np.kron(a.astype(float), np.ones((to_h, to_w))).reshape(to_h, h, to_w, w).mean(axis=(1, 3))
     assert np.allclose(media.area_resize(a, to_h, to_w), want)
+    assert np.allclose(media.area_resize(a, to_h, to_w, band=3), want)
     assert (media.from_tiles(b"".join(media.to_tiles(a, (7, 5))), w) == a).all()
 
 
@@ -288,17 +339,129 @@ def test_html_broken_pages():
     assert t("<div>" * 5000 + "deep" + "</div>" * 5000) == "deep" and t("<ul><li>a<ul><li>b</ul><li>c</ul>") == "- a\n  - b\n- c"
 
 
+def tokens(page):
+    """The standard's tokeniser, state by state: ("text", s), ("start", name, attributes) and ("end", name)."""
+    space, out, at, n = " \t\n\f\r", [], 0, len(page)
+    text = ""
+    while at < n:
+        c = page[at]
+        after = page[at + 1 : at + 2]
+        if c != "<" or not (after.isascii() and after.isalpha() or after and after in "!?/"):
+            text += c
+            at += 1
+            continue
+        if after == "/" and not (page[at + 2 : at + 3].isascii() and page[at + 2 : at + 3].isalpha()) or after in "!?":
+            if at + 2 >= n and after == "/":
+                text += "</"
+                break
+            end = page.find(">", at)
+            at = n if end < 0 else end + 1
+            continue
+        ends, at = after == "/", at + 1 + (after == "/")
+        name, attrs, key, value, state = "", {}, "", "", "tag name"
+        done = False
+
+        def keep():
+            if key:
+                attrs.setdefault(key.lower(), value)
+
+        while at < n and not done:
+            c = page[at]
+            at += 1
+            if state == "tag name":
+                if c in space or c == "/":
+                    state = "before name"
+                elif c == ">":
+                    done = True
+                else:
+                    name += c
+            elif state == "before name":
+                if c == ">":
+                    done = True
+                elif c not in space and c != "/":
+                    key, value, state = c, "", "name"
+            elif state == "name":
+                if c == "=":
+                    state = "before value"
+                elif c in space:
+                    state = "after name"
+                elif c in "/>":
+                    keep()
+                    state, done = "before name", c == ">"
+                else:
+                    key += c
+            elif state == "after name":
+                if c == "=":
+                    state = "before value"
+                elif c in "/>":
+                    keep()
+                    state, done = "before name", c == ">"
+                elif c not in space:
+                    keep()
+                    key, value, state = c, "", "name"
+            elif state == "before value":
+                if c in "\"'":
+                    state = c
+                elif c == ">":
+                    keep()
+                    done = True
+                elif c not in space:
+                    value, state = c, "unquoted"
+            elif state == "unquoted":
+                if c in space or c == ">":
+                    keep()
+                    state, done = "before name", c == ">"
+                else:
+                    value += c
+            elif c == state:  # the closing quote
+                keep()
+                state = "before name"
+            else:
+                value += c
+        if text:
+            out.append(("text", text))
+            text = ""
+        if done:
+            out.append(("end", name.lower()) if ends else ("start", name.lower(), attrs))
+    return [*out, ("text", text)] if text else out
+
+
+@settings(max_examples=400, deadline=None)
+@given(some.text(alphabet="<>/=\"' abP!\n", max_size=40))
+def test_html_tags_by_state(tail):
+    """Attributes and where tags end, against the standard's states. An open tag at the page's end is none."""
+    page = "<i" + tail
+    found, at = [], 0
+    for m in html_text._TAG.finditer(page):
+        if m[3] is not None and m[5] == ">":
+            found.append(("end", m[3].lower()) if m[2] else ("start", m[3].lower(), html_text.Node("x", m[4]).attributes()))
+    assert found == [t for t in tokens(page) if t[0] != "text"]
+
+
+PARTS = "<p> </p> <table> <tr> <td> <th> </table> <ul> <li> </ul> <b> </b> <pre> </pre> <tbody> <caption> </td> </tr> <select> <option> <h1> </h2> <br> <dl> <dd> <dt> < &lt; <a ' \" > = /> title=don't <div> </div> <ol> </ol> {}".split()
+
+
 @settings(max_examples=300, deadline=None)
-@given(some.lists(some.sampled_from("<p> </p> <table> <tr> <td> <th> </table> <ul> <li> </ul> <b> </b> <pre> </pre> <tbody> <caption> </td> </tr> <select> <option> <h1> </h2> <br> <dl> <dd> <dt> < &lt; <a ' \" > <div> </div> <ol> </ol> {}".split() + [f"word{k}" for k in range(5)]), max_size=40))
+@given(some.lists(some.sampled_from(PARTS + [f"word{k}" for k in range(5)]), max_size=40))
 def test_html_loses_no_words(parts):
-    page, n = "", 0
-    for p in parts:
-        if p in ("<", "<a", "'", '"', ">", "{}"):
-            continue
-        page += f" {p}{n} " if p.startswith("word") else p
-        n += 1
-    words = sorted(re.findall(r"word\d+", page))
-    assert sorted(re.findall(r"word\d+", html_text.to_text(page))) == words
+    """All words that the standard's tokeniser takes for text are in the result, quotes and open tags included."""
+    page = ""
+    for n, p in enumerate(parts):
+        page += f" {p}x{n} " if p.startswith("word") else f"{p} " if p == "<a" else p
+    words = sorted(w for t in tokens(page) if t[0] == "text" for w in re.findall(r"word\d+x\d+", t[1]))
+    assert sorted(re.findall(r"word\d+x\d+", html_text.to_text(page))) == words
+
+
+def test_html_quotes_and_spans():
+    t = html_text.to_text
+    assert t("<a title=don't>hello</a> world") == "hello world" and t('<p>a</p><img alt=5" src=x>rest of page') == "a\n\nrest of page"
+    assert t("a<!-->b<!--->c<!-- > -->d") == "abcd" and t("<p hidden=\"\" hidden>x</p><p class='a'id=b>y") == "y"
+    assert html_text.Node("a", " b='1' B=2 c = 3/ d").attributes() == {"b": "1", "c": "3/", "d": ""}
+    rows = "".join(f"<tr><td>r{k}" for k in range(1, 1200))
+    long = t(f"<table><tr><td rowspan=1150>x<td>r0{rows}</table>").split("\n")
+    assert long[0] == "x      r0" and long[1149] == "       r1149" and long[1150] == "r1150"
+    assert t("<table><tbody><tr><td rowspan=0>x<td>a<tr><td>b<tbody><tr><td>c<td>d</table>").split("\n") == ["x  a", "   b", "c  d"]
+    assert t("<table><tr><td rowspan=9>x<td>a<tbody><tr><td>c<td>d</table>").split("\n") == ["x  a", "c  d"]
 
 
 def test_html_head_without_end():
