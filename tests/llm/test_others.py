@@ -62,8 +62,8 @@ def test_simhash_empty_and_long(spark):
     assert simhash.fingerprint(ROWS[10][1], 4) == brute_fingerprint(ROWS[10][1])
 
 
-@pytest.mark.parametrize("crowd", [4096, 30, 2])
-def test_all_links_are_found(spark, crowd):
+@pytest.mark.parametrize("crowd, blocks", [(4096, None), (30, 6), (2, 6), (4096, 7), (30, 7), (4096, 8), (2, 8)])
+def test_all_links_are_found(spark, crowd, blocks):
     rng = np.random.default_rng(3)
     fps = set()
     for base in rng.integers(0, 1 << 63, 3):
@@ -75,8 +75,9 @@ def test_all_links_are_found(spark, crowd):
     fps = sorted(fps | {int(x) for x in rng.integers(0, 1 << 63, 100)})
     classes = brute_classes(fps)
     root = work_dir(spark, "links")
-    df = spark.createDataFrame([(simhash._signed(x),) for x in fps], "fp long")
-    found = {r.node: r.top for r in simhash.components(simhash.links(df, root, crowd), root).collect()}
+    rows = simhash.packed_rows(np.array(fps, np.uint64), simhash.pivots())
+    df = spark.createDataFrame([(simhash._signed(x), *map(int, p)) for x, p in zip(fps, rows.T)], "fp long, p0 long, p1 long")
+    found = {r.node: r.top for r in simhash.components(simhash.links(df, root, crowd, blocks), root).collect()}
     got = [found.get(simhash._signed(x), simhash._signed(x)) for x in fps]
     assert len(set(zip(got, classes))) == len(set(got)) == len(set(classes))
 
@@ -90,12 +91,13 @@ def test_pivots_never_discard_a_link():
     f = np.concatenate([a, b])
     table = simhash.pivot_table(f, simhash.pivots())
     assert len(simhash._linked(f, table, np.arange(2000), np.arange(2000, 4000))) == 2000
+    assert (simhash.unpacked_rows(*simhash.packed_rows(f, simhash.pivots())) == table).all()
 
 
 def test_large_buckets_give_a_forest():
     rng = np.random.default_rng(2)
     fps = np.unique(np.concatenate([np.uint64(77) ^ (np.uint64(1) << rng.integers(0, 40, 300).astype(np.uint64)), rng.integers(0, 1 << 63, 200).astype(np.uint64)]))
-    u, v = fps[simhash.links_in_order(np.zeros(len(fps), int), fps, simhash.pivots())]
+    u, v = fps[simhash.links_in_order(np.zeros(len(fps), int), fps, simhash.pivot_table(fps, simhash.pivots()))]
     assert len(u) < len(fps)
     assert (np.bitwise_count(u ^ v) <= 4).all()
     classes = brute_classes(fps.tolist())
@@ -172,6 +174,17 @@ def test_similar_texts_near_the_threshold(spark, crowd):
     assert [got[k] for k in range(len(texts))] == want
 
 
+def test_recall_of_similar_texts(spark):
+    """Every document whose id 20 divides, against all documents: pairs at 0.8 and at 0.85 or more that are in one class."""
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text IS NOT NULL")
+    texts = {r.doc_id: [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), r.text)) if w] for r in df.collect()}
+    sets = {i: {" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in texts.items() if w}
+    got = {r.doc_id: r.component_id for r in simhash.similar_classes(df).collect()}
+    for least in (0.8, 0.85):
+        pairs = [(i, j) for i in sets if i % 20 == 0 for j in sets if i != j and len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j])]
+        assert len(pairs) > 10 and sum(got[i] == got[j] for i, j in pairs) >= 0.9 * len(pairs)
+
+
 # Toxicity
 
 
