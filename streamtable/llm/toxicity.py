@@ -7,26 +7,29 @@ document toxic. Only documents have labels; the gradient reaches the sentences t
 the model learns which sentences offend and can point at them. Features are a word and its first letters, so that inflected and
 unseen forms of a stem are found; a feature must speak for toxicity on its own to be taken up.
 
-Fitting takes a bounded sample: the MAX_ROWS labelled rows of each class with the smallest hash, of texts up to MAX_CHARS. Scores
-are computed for every document over its whole text. Rows whose crc32(id as text) mod 3 is 1 are never learned from.
+Fitting takes a bounded sample: of each class the MAX_ROWS labelled rows with the smallest hash, of texts up to MAX_CHARS, as far as
+MAX_TOTAL characters of the class go. Executors turn their texts into hashed features, and the driver fits on those arrays, some ten
+million numbers at most. Scores are computed for every document over its whole text. Rows whose crc32(id as text) mod 3 is 1 are
+never learned from.
 
 Defined cases: a null or empty text has one empty sentence and so the lowest score; null labels are ignored, several labels of one
 id count as toxic if any is; without both classes all weights are zero and every score is the sample's share of toxic rows (0.5
-without any row); null ids are scored and are not held out; an empty table gives an empty result; other columns are ignored.
+without any row); null ids are scored and are not held out; repeated rows count once in the sample, and of rows with one hash the
+smaller text hash comes first; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import functools
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from streamtable.llm.common import map_arrow
@@ -34,6 +37,8 @@ from streamtable.llm.tokens import slices
 
 MAX_ROWS = 2000
 MAX_CHARS = 200_000
+#: Characters of one class's sample: about ten million features for both classes, 80 MB.
+MAX_TOTAL = 8_000_000
 THRESHOLD = 0.7
 PREFIXES = (4, 5, 6)
 #: How many standard deviations a feature must be more frequent in toxic documents.
@@ -54,12 +59,22 @@ def held_out(doc_id: Column) -> Column:
 
 
 @functools.lru_cache(maxsize=200_000)
-def features(word: str) -> list[str]:
-    """A word and its beginnings; none for what has no letters."""
+def features(word: str) -> list[int]:
+    """The hashes of a word and its beginnings; none for what has no letters."""
     w = _STRIP.sub("", word).lower()
     if not w:
         return []
-    return [w, *(f"{w[:k]}*" for k in PREFIXES if len(w) >= k)]
+    return [xxhash.xxh3_64_intdigest(x) for x in (w, *(f"{w[:k]}*" for k in PREFIXES if len(w) >= k))]
+
+
+Bag = tuple[np.ndarray, np.ndarray]
+
+
+def bag(text: str | None) -> Bag:
+    """A text as the numbers of features of its sentences, and all their features in a row."""
+    own = _BLANK.sentences(text)
+    found = [[f for w in text[a:b].split() for f in features(w)] for a, b, _ in own]
+    return np.array([len(x) for x in found] or [0], np.int64), np.array([f for x in found for f in x], np.uint64)
 
 
 @dataclass
@@ -67,7 +82,7 @@ class Model:
     """Weights by feature and the bias of a document."""
 
     bias: float
-    weights: dict[str, float]
+    weights: dict[int, float]
     _known: dict[str, tuple[float, bool]] = field(default_factory=dict, repr=False)
 
     def __getstate__(self):
@@ -128,10 +143,13 @@ def _words(texts: pa.Array) -> pa.ListArray:
     return pc.ascii_split_whitespace(pc.ascii_trim_whitespace(marked)) if len(texts) else pc.ascii_split_whitespace(marked)
 
 
-def sample(docs: DataFrame, labels: DataFrame, most: int = MAX_ROWS) -> list[tuple[str, int]]:
-    """(text, toxic) of at most `most` rows of each class, never of held-out ids."""
+_BLANK = Model(0.0, {})
+
+
+def sample(docs: DataFrame, labels: DataFrame, most: int = MAX_ROWS, most_chars: int = MAX_TOTAL) -> list[tuple[Bag, int]]:
+    """(bag, toxic) of at most `most` rows and `most_chars` characters of each class, never of held-out ids."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    known = known.groupBy("doc_id").agg(F.max("toxic").alias("y"))
+    known = known.groupBy("doc_id").agg(F.max("toxic").cast("long").alias("y"))
     draw = F.xxhash64(F.lit("toxicity"), "doc_id")
     ids = None
     for y in (0, 1):
@@ -140,53 +158,80 @@ def sample(docs: DataFrame, labels: DataFrame, most: int = MAX_ROWS) -> list[tup
     # 2 * most rows of three numbers.
     ids = ids.select(F.col("doc_id").alias("_id"), "y", "draw")
     rows = docs.select("doc_id", "text").where(F.length("text") <= MAX_CHARS).join(F.broadcast(ids), F.col("doc_id") == F.col("_id"))
-    rows = rows.select("text", "y", "draw").orderBy("draw", "text").limit(2 * most)
-    return [(r.text, int(r.y)) for r in rows.collect()]
-
+    rows = rows.select("y", "draw", F.xxhash64("text").alias("hash"), F.length("text").alias("n"), "text")
+    keys = rows.select("y", "draw", "hash", "n").distinct().orderBy("draw", "hash").limit(2 * most)
+    upto = F.sum("n").over(Window.partitionBy("y").orderBy("draw", "hash"))  # of 2 * most rows
+    keys = [tuple(r) for r in keys.select("draw", "hash", upto.alias("upto")).where(F.col("upto") <= most_chars).select("draw", "hash").collect()]
+    if not keys:
+        return []
 
-def fit(rows: list[tuple[str, int]], steps: int = STEPS) -> Model:
-    """Learn from (text, toxic) rows. Runs on the driver, as the rows are bounded."""
-    y = np.array([t for _, t in rows], np.float64)
-    n_pos, n_neg = int(y.sum()), int(len(y) - y.sum())
-    if not n_pos or not n_neg:
-        share = min(max(float(y.mean()) if len(y) else 0.5, 1e-3), 1 - 1e-3)
-        return Model(float(np.log(share / (1 - share))), {})
-    blank = Model(0.0, {})
-    bags = []
-    in_pos, in_neg = Counter(), Counter()
-    for text, toxic in rows:
-        parts = [text[a:b].split() for a, b, _ in blank.sentences(text)]
-        bags.append(parts)
-        (in_pos if toxic else in_neg).update({f for p in parts for w in p for f in features(w)})
-    ratio = n_pos / n_neg
-    evidence = {f: (p - in_neg[f] * ratio) / np.sqrt(p + in_neg[f] * ratio * ratio) for f, p in in_pos.items()}
-    number = {f: k for k, f in enumerate(sorted(f for f, z in evidence.items() if z >= EVIDENCE))}
-    doc_of, entry_sentence, entry_feature = [], [], []
-    for d, parts in enumerate(bags):
-        for p in parts or [[]]:
-            found = [number[f] for w in p for f in features(w) if f in number]
-            entry_sentence += [len(doc_of)] * len(found)
-            entry_feature += found
-            doc_of.append(d)
-    doc_of, sent, feat = (np.array(x, np.int64) for x in (doc_of, entry_sentence, entry_feature))
-    w, m, v = (np.zeros(len(number) + 1) for _ in range(3))
-    w[-1] = -4.0
-    for t in range(1, steps + 1):
-        s = w[-1] + np.bincount(sent, w[feat], minlength=len(doc_of))
+    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [bag(x.as_py()) for x in batch.column("text")]
+            columns = [pa.array([x[k].tobytes() for x in parts], pa.binary()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("draw", "hash", "y")), *columns], names=["draw", "hash", "y", "sizes", "features"])
+
+    chosen = F.broadcast(docs.sparkSession.createDataFrame(keys, "draw long, hash long"))
+    found = map_arrow(rows.join(chosen, ["draw", "hash"]).select("draw", "hash", "y", "text"), bags, "draw bigint, hash bigint, y bigint, sizes binary, features binary")
+    once = {(r.draw, r.hash): r for r in found.toLocalIterator()}
+    return [((np.frombuffer(r.sizes, np.int64), np.frombuffer(r.features, np.uint64)), int(r.y)) for _, r in sorted(once.items())]
+
+
+class Problem:
+    """The sample in arrays: which features each sentence has and which document each sentence belongs to."""
+
+    def __init__(self, rows: list[tuple[Bag, int]]):
+        self.y = np.array([t for _, t in rows], np.float64)
+        self.n_pos, self.n_neg = int(self.y.sum()), int(len(self.y) - self.y.sum())
+        n = len(rows)
+        self.doc = np.repeat(np.arange(n), [len(b[0]) for b, _ in rows]) if n else np.zeros(0, np.int64)
+        sizes = np.concatenate([b[0] for b, _ in rows]) if n else np.zeros(0, np.int64)
+        sent = np.repeat(np.arange(len(sizes)), sizes)
+        self.names, feat = np.unique(np.concatenate([b[1] for b, _ in rows]) if n else np.zeros(0, np.uint64), return_inverse=True)
+        if not self.n_pos or not self.n_neg:
+            self.sent = self.feat = np.zeros(0, np.int64)
+            return
+        # Documents of each class that a feature is in, and those features that speak for toxicity on their own.
+        once = np.unique(feat * n + self.doc[sent])
+        toxic = self.y[once % n] == 1
+        in_pos, in_neg = (np.bincount(once[x] // n, minlength=len(self.names)) for x in (toxic, ~toxic))
+        ratio = self.n_pos / self.n_neg
+        with np.errstate(invalid="ignore", divide="ignore"):
+            keep = (in_pos > 0) & ((in_pos - in_neg * ratio) / np.sqrt(in_pos + in_neg * ratio * ratio) >= EVIDENCE)
+        number = np.cumsum(keep) - 1
+        self.names, used = self.names[keep], keep[feat]
+        self.sent, self.feat = sent[used], number[feat[used]]
+
+    def loss(self, w: np.ndarray) -> tuple[float, np.ndarray]:
+        """Cross-entropy of the classes at equal weight, with the pull to zero, and its gradient, through the noisy-or; w: weights, then the bias."""
+        s = w[-1] + np.bincount(self.sent, w[self.feat], minlength=len(self.doc))
         p, idle = 1 / (1 + np.exp(-s)), 1 / (1 + np.exp(-w[-1]))
         base = np.logaddexp(0, w[-1])
-        log_none = np.bincount(doc_of, base - np.logaddexp(0, s), minlength=len(y)) - base
+        log_none = np.bincount(self.doc, base - np.logaddexp(0, s), minlength=len(self.y)) - base
         whole = np.clip(-np.expm1(log_none), 1e-9, 1)
-        # Of the cross-entropy, through the noisy-or.
-        pull = np.where(y == 1, -(1 - whole) / whole / n_pos, 1 / n_neg) / 2
-        g_s = pull[doc_of] * p
+        value = (-(self.y * np.log(whole)).sum() / self.n_pos - ((1 - self.y) * log_none).sum() / self.n_neg) / 2 + DECAY * w[:-1].sum()
+        pull = np.where(self.y == 1, -(1 - whole) / whole / self.n_pos, 1 / self.n_neg) / 2
+        g_s = pull[self.doc] * p
         # The bias counts once a document, and in a sentence only as far as its evidence shifts it.
-        g = np.append(np.bincount(feat, g_s[sent], minlength=len(number)), (pull[doc_of] * (p - idle)).sum() + (pull * idle).sum())
+        g = np.append(np.bincount(self.feat, g_s[self.sent], minlength=len(self.names)), (pull[self.doc] * (p - idle)).sum() + (pull * idle).sum())
         g[:-1] += DECAY
+        return float(value), g
+
+
+def fit(rows: list[tuple[Bag | str, int]], steps: int = STEPS) -> Model:
+    """Learn from (bag or text, toxic) rows. Runs on the driver, as the rows are bounded."""
+    problem = Problem([(bag(x) if isinstance(x, str) else x, t) for x, t in rows])
+    if not problem.n_pos or not problem.n_neg:
+        share = min(max(float(problem.y.mean()) if len(problem.y) else 0.5, 1e-3), 1 - 1e-3)
+        return Model(float(np.log(share / (1 - share))), {})
+    w, m, v = (np.zeros(len(problem.names) + 1) for _ in range(3))
+    w[-1] = -4.0
+    for t in range(1, steps + 1):
+        _, g = problem.loss(w)
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w -= RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
         w[:-1] = np.maximum(w[:-1], 0)
-    return Model(float(w[-1]), {f: float(w[k]) for f, k in number.items() if w[k] > 1e-3})
+    return Model(float(w[-1]), {f: x for f, x in zip(problem.names.tolist(), w.tolist()) if x > 1e-3})
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

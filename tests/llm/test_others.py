@@ -210,6 +210,37 @@ def test_sentences_are_located():
     assert p[0] == pytest.approx(1 - np.prod([1 - s for *_, s in model.sentences(text)]))
 
 
+def test_gradient_of_the_fit():
+    """The gradient against differences of the loss, and the fit against any small step from it."""
+    problem = toxicity.Problem([(toxicity.bag(t), y) for t, y in bags(60)])
+    rng = np.random.default_rng(1)
+    for _ in range(3):
+        w = np.append(rng.uniform(0, 1.5, len(problem.names)), rng.uniform(-4, 0))
+        _, g = problem.loss(w)
+        for k in [*rng.integers(0, len(w), 8).tolist(), len(w) - 1]:
+            step = np.zeros(len(w))
+            step[k] = 1e-5
+            assert (problem.loss(w + step)[0] - problem.loss(w - step)[0]) / 2e-5 == pytest.approx(g[k], abs=1e-6)
+    model = toxicity.fit(bags(60), steps=2000)
+    at = np.array([*(model.weights.get(int(f), 0.0) for f in problem.names), model.bias])
+    best = problem.loss(at)[0]
+    for _ in range(50):
+        near = at + rng.normal(0, 0.05, len(at))
+        near[:-1] = np.maximum(near[:-1], 0)
+        assert problem.loss(near)[0] > best - 1e-4
+
+
+def test_sample_is_bounded(spark):
+    rows = [(k, f"word{k} text. " * 20, "en", "a", 0) for k in range(300)] + [(0, "word0 text. " * 20, "en", "a", 0)]
+    labels = spark.createDataFrame([(k, 0, k % 2) for k in range(300)], "doc_id long, quality int, toxic int")
+    held = sum(zlib.crc32(str(k).encode()) % 3 == 1 for k in range(300))
+    found = toxicity.sample(docs(spark, rows), labels)
+    assert len(found) == 300 - held and {y for _, y in found} == {0, 1}
+    assert len(toxicity.sample(docs(spark, rows), labels, most=10)) == 20
+    few = toxicity.sample(docs(spark, rows), labels, most_chars=2000)
+    assert 0 < len(few) <= 2 * 2000 // 220 and all(len(b[0]) == 20 for b, _ in few)
+
+
 def test_length_alone_is_not_toxic():
     model = toxicity.fit(bags())
     clean, toxic = "w2 w3 w5. ", "Such a blargish snark here! "
