@@ -3,13 +3,13 @@
 All blocks share one frequency table over the vocabulary, counted over every id of the corpus and scaled to 2**20. A block holds
 whole documents in ascending order of id. Its ids are cut into segments, each coded on its own: ids are dealt to interleaved
 lanes, numpy steps through all lanes at once, and a lane's 64-bit state gives off 32-bit words. A segment keeps the lanes' states
-every CHECKPOINT steps with the place in the words, so decoding can start there, and a CRC-32 of its ids. Blocks are rows of a
+every CHECKPOINT steps with the place in the words, so decoding can start there, as `lookup` does, and a CRC-32 of its ids. Blocks are rows of a
 Parquet table, so that any store that Spark can write holds the files, and writing survives lost executors; block and segment
 are independent, so decoding is as parallel as blocks.
 
 Ids are staged as 16-bit numbers once. Only the frequency table, one number for each entry of the vocabulary, goes to the driver.
 
-Defined cases: a null or empty text is the end id alone; null ids sort first; rows with one id are ordered by their ids' bytes;
+Defined cases: a null or empty text is the end id alone; a very long text is a block of its own of several segments; null ids sort first; rows with one id are ordered by their ids' bytes;
 an empty table gives empty files and an empty result; columns other than the id and the text are ignored.
 """
 
@@ -96,8 +96,23 @@ def encode_segment(ids: np.ndarray, table: Table) -> bytes:
     return b"".join([*out, flat.astype("<u4").tobytes()])
 
 
-def decode_segment(data: memoryview, table: Table, checkpoint: int = 0) -> tuple[np.ndarray, int]:
-    """The segment's ids, from its k-th checkpoint on (0: its start), and its bytes. A wrong checksum raises ValueError."""
+def segment_bytes(data: memoryview) -> tuple[int, int]:
+    """The number of ids of a segment and its bytes."""
+    n, lanes, n_words, n_marks, *_ = _SEGMENT.unpack_from(data)
+    return n, _SEGMENT.size + 8 * lanes + n_marks * (8 + 8 * lanes) + 4 * n_words
+
+
+def decode_range(data: memoryview, table: Table, start: int, stop: int) -> np.ndarray:
+    """The segment's ids from start to stop, decoded from the last checkpoint before start. Its checksum isn't looked at."""
+    n, lanes, *_ = _SEGMENT.unpack_from(data)
+    checkpoint = start // lanes // CHECKPOINT
+    ids, _ = decode_segment(data, table, checkpoint, -(-min(stop, n) // lanes))
+    skipped = checkpoint * CHECKPOINT * lanes
+    return ids[start - skipped : stop - skipped]
+
+
+def decode_segment(data: memoryview, table: Table, checkpoint: int = 0, last_step: int | None = None) -> tuple[np.ndarray, int]:
+    """The segment's ids, from its k-th checkpoint on (0: its start), and its bytes. A wrong checksum of all ids raises ValueError."""
     n, lanes, n_words, n_marks, crc, _ = _SEGMENT.unpack_from(data)
     at = _SEGMENT.size
     first, word = 0, 0
@@ -110,7 +125,8 @@ def decode_segment(data: memoryview, table: Table, checkpoint: int = 0) -> tuple
             first, word = (t, w) if k else (0, 0)
         at += 8 * lanes
     words = np.frombuffer(data, "<u4", n_words, at).astype(np.uint64)
-    steps = -(-n // lanes)
+    whole = -(-n // lanes)
+    steps = whole if last_step is None else last_step
     out = np.empty((steps - first, lanes), np.uint16)
     mask, shift = np.uint64((1 << SCALE_BITS) - 1), np.uint64(SCALE_BITS)
     for t in range(steps - first):
@@ -123,7 +139,7 @@ def decode_segment(data: memoryview, table: Table, checkpoint: int = 0) -> tuple
             x[need] = (x[need] << WORD_BITS) | words[word : word + len(need)]
             word += len(need)
     ids = out.reshape(-1)[: n - first * lanes]
-    if not checkpoint and zlib.crc32(ids.astype("<u4").tobytes()) != crc:
+    if not checkpoint and steps == whole and zlib.crc32(ids.astype("<u4").tobytes()) != crc:
         raise ValueError("a segment's checksum is wrong")
     return ids, at + 4 * n_words
 
@@ -136,6 +152,31 @@ def encode_block(doc_ids: list[int | None], sizes: np.ndarray, ids: np.ndarray,
     return body + struct.pack("<I", zlib.crc32(body))
 
 
+def decode_documents(data: bytes, table: Table, wanted: set[int]) -> list[tuple[int, np.ndarray]]:
+    """(doc_id, ids) of the wanted documents of a block. Only what lies between a document's checkpoints and its end is decoded."""
+    body = memoryview(data)[:-4]
+    magic, n_docs, n_ids, n_parts = _HEAD.unpack_from(body)
+    if magic != MAGIC or zlib.crc32(body) != struct.unpack("<I", data[-4:])[0]:
+        raise ValueError("not a block, or its checksum is wrong")
+    at = _HEAD.size
+    known = np.frombuffer(body, np.uint8, n_docs, at)
+    keys = np.frombuffer(body, "<i8", n_docs, at + n_docs)
+    sizes = np.frombuffer(body, "<u4", n_docs, at + 9 * n_docs).astype(np.int64)
+    at += 13 * n_docs
+    segments = []  # first id, ids, place
+    first = 0
+    for _ in range(n_parts):
+        n, size = segment_bytes(body[at:])
+        segments.append((first, n, at))
+        first, at = first + n, at + size
+    out = []
+    starts = np.cumsum(sizes) - sizes
+    for k in np.flatnonzero(known.astype(bool) & np.isin(keys, list(wanted))).tolist():
+        a, b = int(starts[k]), int(starts[k] + sizes[k])
+        out.append((int(keys[k]), np.concatenate([decode_range(body[p:], table, max(a - f, 0), min(b - f, n)) for f, n, p in segments if f < b and a < f + n])))
+    return out
+
+
 def decode_block(data: bytes, table: Table) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     """(doc_ids, sizes, ids) of a block."""
     body = memoryview(data)[:-4]
@@ -197,7 +238,9 @@ def count_ids(tokens: DataFrame) -> np.ndarray:
 
 
 def write(docs: DataFrame, path: str, vocabulary: str | None = None, root: str | None = None) -> None:
-    """Write path/blocks and path/table: rows (part, block, first, n_docs, n_ids, payload) and (id, freq)."""
+    """Write path/blocks and path/table: rows (part, block, first, n_docs, n_ids, low, high, payload) and (id, freq). low and high are
+    a block's least and largest document ids, so that looking up documents skips most files.
+    """
     spark = docs.sparkSession
     tokens = token_table(docs, f"{root or work_dir(spark, 'rans')}/tokens", vocabulary)
     table = Table.from_counts(count_ids(tokens))
@@ -216,12 +259,13 @@ def write(docs: DataFrame, path: str, vocabulary: str | None = None, root: str |
         def flush() -> pa.RecordBatch:
             nonlocal number, first, n
             sizes, ids = np.array([len(x) for x in held], np.int64), np.concatenate(held)
-            row = [part, number, first, len(keys), n, encode_block(keys, sizes, ids, table)]
+            ends = [k for k in keys if k is not None] or [None]
+            row = [part, number, first, len(keys), n, min(ends), max(ends), encode_block(keys, sizes, ids, table)]
             number, first, n = number + 1, first + n, 0
             keys.clear()
             held.clear()
-            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], names=["part", "block", "first", "n_docs", "n_ids", "payload"])
+            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], names=["part", "block", "first", "n_docs", "n_ids", "low", "high", "payload"])
 
         for batch in batches:
             for key, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids")):
@@ -236,15 +280,39 @@ def write(docs: DataFrame, path: str, vocabulary: str | None = None, root: str |
 
     rows = tokens.where("kind = 'ids'").select("doc_id", "ids").repartitionByRange(F.col("doc_id").asc_nulls_first())
     rows = rows.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
-    out = map_arrow(rows, blocks, "part int, block int, first bigint, n_docs int, n_ids bigint, payload binary")
+    out = map_arrow(rows, blocks, "part int, block int, first bigint, n_docs int, n_ids bigint, low bigint, high bigint, payload binary")
     out.write.mode("overwrite").option("compression", "none").parquet(f"{path}/blocks")
 
 
-def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
-    """One row for each document of the files: doc_id, start, n_tokens, ids_crc32 and, if asked for, its ids as uint32."""
+def frequencies(spark: SparkSession, path: str) -> np.ndarray:
+    """The files' table."""
     freq = np.zeros(1 << 16, np.int32)
     for k, f in spark.read.parquet(f"{path}/table").collect():  # one row for each entry of the vocabulary at most
         freq[k] = f
+    return freq
+
+
+def lookup(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
+    """(doc_id, ids as uint32) of a stated list of documents: only blocks that may hold them are read, and only they are decoded."""
+    wanted, freq = set(doc_ids), frequencies(spark, path)
+    table = spark.createDataFrame([(k,) for k in sorted(wanted)], "k long")
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = Table(freq)
+        for batch in batches:
+            found = [x for payload in batch.column("payload") for x in decode_documents(payload.as_py(), codes, wanted)]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.array([x.astype("<u4").tobytes() for _, x in found], pa.binary())], names=["doc_id", "ids"])
+
+    span = F.lit(min(wanted, default=0)), F.lit(max(wanted, default=-1))
+    blocks = spark.read.parquet(f"{path}/blocks").where((F.col("high") >= span[0]) & (F.col("low") <= span[1]))
+    # The caller's list, stated beforehand.
+    held = blocks.join(F.broadcast(table), (F.col("k") >= F.col("low")) & (F.col("k") <= F.col("high")), "left_semi")
+    return map_arrow(held.select("payload"), decode, "doc_id bigint, ids binary")
+
+
+def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
+    """One row for each document of the files: doc_id, start, n_tokens, ids_crc32 and, if asked for, its ids as uint32."""
+    freq = frequencies(spark, path)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = Table(freq)

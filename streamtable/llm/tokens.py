@@ -3,12 +3,15 @@
 The vocabulary's tokenizer drops white space, so a text's ids are its words' ids one after another. Arrow splits texts into words
 and numbers them; distinct words of common letters are split into the pieces of the vocabulary's pattern, also by Arrow, and each
 distinct piece goes once through the library's own model and is remembered. Any other word is encoded whole by the library, so
-ids are always the library's. Numpy puts the ids together.
+ids are always the library's. Numpy puts the ids together. All this holds for vocabularies with the normaliser and the split of FORM;
+texts of any other vocabulary file are encoded whole by the library. Ids must fit 16 bits.
 """
 
 from __future__ import annotations
 
+import json
 import os
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +32,23 @@ SIMPLE = r"^[\x21-\x26\x28-\x2f\x3a\x3b\x3d-\x40\x5b-\x7e\x{DF}-\x{F6}\x{F8}-\x{
 SIGNS = r"([\x21-\x26\x28-\x2f\x3a-\x40\x5b-\x60\x7b-\x7e]+)"
 
 
+# The normaliser, split and word end of vocabulary files whose texts are taken apart here.
+FORM = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "split": {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+    "model": {"type": "BPE", "dropout": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>"},
+}
+
+
+def known_form(path: str) -> bool:
+    """Whether a vocabulary file drops white space, lower-cases and splits as FORM says."""
+    x = json.loads(Path(path).read_text())
+    steps = (x.get("pre_tokenizer") or {}).get("pretokenizers") or []
+    model = {k: (x.get("model") or {}).get(k) for k in FORM["model"]}
+    bytes_ = len(steps) == 2 and steps[1].get("type") == "ByteLevel" and not steps[1].get("add_prefix_space") and not steps[1].get("use_regex")
+    return x.get("normalizer") == FORM["normalizer"] and bytes_ and steps[0] == FORM["split"] and model == FORM["model"]
+
+
 def default_vocabulary() -> str:
     import public_tokenizers
 
@@ -58,6 +78,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        if self.tokenizer.get_vocab_size() > 1 << 16:
+            raise ValueError(f"{path} has ids beyond 65,535")
+        self.known_form = known_form(path)
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
         self._forget()
@@ -115,6 +138,9 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, starts): all ids of the texts, each text's with the end id behind, and where each text starts, with the end."""
+        if not self.known_form:
+            parts = [np.array([*x.ids, END_ID], np.uint16) for x in self.tokenizer.encode_batch([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
+            return np.concatenate(parts) if parts else np.zeros(0, np.uint16), np.concatenate(([0], np.cumsum([len(x) for x in parts], dtype=np.int64)))
         words = pc.ascii_split_whitespace(pc.fill_null(texts, "").cast(pa.large_string()))
         bounds = np.asarray(words.offsets) - words.offsets[0].as_py()
         coded = words.flatten().dictionary_encode()

@@ -10,6 +10,7 @@ import pyarrow as pa
 import pytest
 
 from streamtable.llm import packing, rans
+from streamtable.llm.common import work_dir
 from streamtable.llm.tokens import Encoder, default_vocabulary, slices
 from tests.conftest import DATA
 from tests.llm.fixtures import ROWS, clashing, docs
@@ -40,6 +41,30 @@ def test_ids_are_the_librarys(encoder, spark):
     assert len(empty) == 0 and at.tolist() == [0]
 
 
+def test_other_vocabularies(spark):
+    """Files that normalise or split otherwise go through the library as a whole; too many ids are refused."""
+    path = default_vocabulary().replace("word_bpe_49k", "byte_bpe_50k")
+    own = Encoder.get(path)
+    assert Encoder.get(default_vocabulary()).known_form and not own.known_form
+    texts = ODD + [r[1] for r in ROWS if r[0] != 10]
+    ids, starts = own.encode(pa.array(texts, pa.string()))
+    for k, t in enumerate(texts):
+        assert ids[starts[k] : starts[k + 1]].tolist() == own.tokenizer.encode(t or "", add_special_tokens=False).ids + [1]
+    assert len(own.encode(pa.array([], pa.string()))[0]) == 0
+    got = {(r.doc_id, r.start): r for r in packing.pieces(docs(spark, ROWS[:6]), path).collect()}
+    assert all(got[r[0], 0].ids_crc32 == crc(own.tokenizer.encode(r[1] or "", add_special_tokens=False).ids + [1]) for r in ROWS[:6])
+
+
+def test_too_many_ids(tmp_path):
+    import json
+
+    x = json.loads(open(default_vocabulary()).read())
+    x["model"]["vocab"] |= {f"own{k}": 50_000 + k for k in range(16_500)}
+    (tmp_path / "v.json").write_text(json.dumps(x))
+    with pytest.raises(ValueError, match="65,535"):
+        Encoder(str(tmp_path / "v.json"))
+
+
 def test_forgetting(encoder, monkeypatch):
     monkeypatch.setattr("streamtable.llm.tokens.CACHE_PIECES", 50)
     for part in ("alpha beta gamma " * 3, " ".join(f"w{k}x" for k in range(80)), "alpha again"):
@@ -134,6 +159,34 @@ def test_sequences(spark, encoder):
             assert ids[p.offset : p.offset + p.length].tolist() == ids_of(encoder, texts[p.doc_id])[p.start : p.start + p.length]
 
 
+def test_decoding_from_checkpoints():
+    rng = np.random.default_rng(7)
+    ids = (rng.zipf(1.3, 200_000) % 49000).astype(np.uint16)
+    table = rans.Table.from_counts(np.bincount(ids, minlength=1 << 16))
+    segment = rans.encode_segment(ids, table)
+    assert rans.segment_bytes(memoryview(segment)) == (len(ids), len(segment))
+    for a, b in [(0, 1), (5, 70), (0, 200_000), (199_999, 200_000), (65_536, 65_537), (65_535, 131_073), (100_000, 150_000)]:
+        assert (rans.decode_range(memoryview(segment), table, a, b) == ids[a:b]).all()
+    sizes = np.array([10, 300_000, 0, 5, 250_000])
+    many = (rng.zipf(1.3, int(sizes.sum())) % 49000).astype(np.uint16)
+    table = rans.Table.from_counts(np.bincount(many, minlength=1 << 16))
+    block, at = rans.encode_block([1, 2, None, 4, 5], sizes, many, table), np.cumsum(sizes) - sizes
+    for k, got in rans.decode_documents(block, table, {1, 2, 4, 5, 9}):
+        i = [1, 2, None, 4, 5].index(k)
+        assert (got == many[at[i] : at[i] + sizes[i]]).all()
+
+
+def test_lookup(spark, encoder):
+    df = spark.read.parquet(f"{DATA}/documents.parquet")
+    root = work_dir(spark, "lookup")
+    rans.write(df, f"{root}/files", root=root)
+    texts = {r.doc_id: r.text for r in df.collect()}
+    wanted = [i for i in texts if i % 37 == 0] + [10**9]
+    got = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in rans.lookup(spark, f"{root}/files", wanted).collect()}
+    assert got == {i: ids_of(encoder, texts[i]) for i in wanted if i in texts}
+    assert rans.lookup(spark, f"{root}/files", []).count() == 0
+
+
 @pytest.mark.parametrize("n", [1, 2, 63, 64, 1000, 70_000, 300_000])
 def test_rans_round_trip(n):
     rng = np.random.default_rng(n)
