@@ -1,11 +1,12 @@
 """Quality rules as a bitmask ledger.
 
-Every rule is evaluated once for each document. The ledger keeps the measurements and one bit for each failed rule; policies
-are versioned sets of rules that are applied to the bits afterwards, and ablations are bitwise aggregates over the ledger. All
-of it is built-in expressions: one narrow pass over the text without any shuffle.
+Every rule is evaluated once for each document. The ledger, a stored table, keeps the measurements and one bit for each failed
+rule; policies are versioned sets of rules that are applied to the stored bits afterwards, and ablations are bitwise aggregates
+over them. All of it is built-in expressions: one narrow pass over the text without any shuffle.
 
-Defined cases: a null or empty text has no words and fails `few_words`; repeated rows give repeated ledger rows; an empty table
-gives an empty ledger; columns of the input other than the id and the text are ignored, so their names can't clash.
+Defined cases: a null or empty text has no words and fails `few_words`; of a very long text all windows are held as one array of
+longs; equal windows tie and are all counted; repeated rows give repeated ledger rows; an empty table gives an empty ledger; columns
+of the input other than the id and the text are ignored or kept as they are, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from streamtable.llm.common import whole, words
+from streamtable.llm.common import stage, whole, work_dir, words
 
 
 @dataclass(frozen=True)
@@ -119,6 +120,11 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return measure(docs, id_col, text_col).withColumn("fail_bits", bits)
 
 
+def stored(docs: DataFrame, root: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The ledger, written below root and read again: policies and ablations over it evaluate no rule."""
+    return stage(ledger(docs, id_col, text_col), f"{root or work_dir(docs.sparkSession, 'quality')}/ledger")
+
+
 def verdict(policy: str = POLICY, bits: str = "fail_bits") -> Column:
     """True where no rule of the policy, and no base rule, has failed."""
     return F.col(bits).bitwiseAND(F.lit(mask({*POLICIES[policy], *BASE}))) == 0
@@ -143,8 +149,8 @@ def ablations(entries: DataFrame, policy: str = POLICY) -> DataFrame:
 
 
 def digest(docs: DataFrame, policy: str = POLICY) -> DataFrame:
-    """The contract's columns from the ledger."""
-    return ledger(docs).select(
+    """The contract's columns from the stored ledger."""
+    return stored(docs).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         (F.col("fail_bits").bitwiseAND(F.lit(mask(BASE))) != 0).alias("base_failed"),
         verdict(policy).alias("kept"),
@@ -152,15 +158,15 @@ def digest(docs: DataFrame, policy: str = POLICY) -> DataFrame:
     )
 
 
-def keep(docs: DataFrame, policy: str = POLICY) -> DataFrame:
-    """The documents that the policy keeps, with all their columns.
+def stored_with_documents(docs: DataFrame, root: str | None = None) -> DataFrame:
+    """The stored ledger with each document beside its bits, as one struct `d`. So no join is needed and no name can clash."""
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("d"), F.col("text").alias("t0"))
+    return stored(packed, root, "d", "t0")
 
-    The ledger's columns are made beside the document as one struct, so no join is needed and no name can clash.
-    """
-    own = docs.columns
-    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("d"), F.col("text").alias("t0"))
-    kept = ledger(packed, "d", "t0").where(verdict(policy))
-    return kept.select("d.*")
+
+def keep(docs: DataFrame, policy: str = POLICY, root: str | None = None) -> DataFrame:
+    """The documents that the policy keeps, with all their columns, from the stored ledger."""
+    return stored_with_documents(docs, root).where(verdict(policy)).select("d.*")
 
 
 def oracle() -> str:
@@ -188,4 +194,4 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fai
 FROM b"""
 
 
-__all__ = ["BASE", "BIT", "POLICIES", "POLICY", "RULES", "ablations", "digest", "keep", "ledger", "mask", "measure", "oracle", "verdict"]
+__all__ = ["BASE", "BIT", "POLICIES", "POLICY", "RULES", "ablations", "digest", "keep", "ledger", "mask", "measure", "oracle", "stored", "stored_with_documents", "verdict"]
