@@ -20,24 +20,39 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def work_root(spark: SparkSession) -> str:
-    """The shared folder for staged tables: the session's checkpoint folder, or a temporary one where none is set."""
+    """The shared folder for staged tables: the session's checkpoint folder. In local mode alone, a temporary one where none is set."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         root = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = root.get() if root.isDefined() else None
     if not root:
-        root = tempfile.mkdtemp(prefix="streamtable-")
-        spark.sparkContext.setCheckpointDir(root)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = _local.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="streamtable-"))
     return root.rstrip("/")
 
 
+_local: dict[str, str] = {}
+_made: list[str] = []
+
+
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder for one run of an operator, removed when the driver ends."""
+    """A fresh folder for one run of an operator, removed when the driver ends or by clear_work()."""
     path = f"{work_root(spark)}/streamtable/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
     atexit.register(_remove, spark, path)
     return path
 
 
+def clear_work(spark: SparkSession) -> int:
+    """Remove the work folders made so far, for long sessions. DataFrames that operators gave before are void then."""
+    paths = list(_made)
+    _made.clear()
+    for path in paths:
+        _remove(spark, path)
+    return len(paths)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
