@@ -5,6 +5,7 @@ from streamtable.datastore import Datastore, Query, open
 from streamtable.frame import Frame
 from streamtable.rows import Publisher, columns_of, now, row
 from streamtable.types import (
+    Config,
     TableConfig,
     bool_,
     column,
@@ -25,6 +26,6 @@ from streamtable.types import (
 )
 
 __all__ = [
-    "Datastore", "Frame", "Publisher", "Query", "TableConfig", "bool_", "column", "columns_of", "duration", "errors", "float32", "float64", "int16", "int32",
+    "Config", "Datastore", "Frame", "Publisher", "Query", "TableConfig", "bool_", "column", "columns_of", "duration", "errors", "float32", "float64", "int16", "int32",
     "int64", "int8", "now", "open", "row", "string", "timestamp", "topic", "types", "uint16", "uint32", "uint64", "uint8",
 ]

@@ -9,6 +9,10 @@ from pyspark.sql import SparkSession
 import streamtable
 
 
+#: Rows of a result that the prompt shows.
+SHOWN = 1000
+
+
 def main(args: list[str]) -> int:
     if not args or args[0] in ("-h", "--help"):
         print(__doc__)
@@ -29,7 +33,8 @@ def main(args: list[str]) -> int:
             lines.append(line)
             if line.rstrip().endswith(";"):
                 try:
-                    print(ds.query("\n".join(lines)).limit(1000).execute())
+                    shown = ds.query("\n".join(lines)).limit(SHOWN + 1).execute()
+                    print(shown.pretty(SHOWN).replace("... 1 more rows", f"... only the first {SHOWN} rows are shown"))
                 except Exception as e:
                     print(f"{type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}")
                 lines = []

@@ -2,30 +2,36 @@
 
 from __future__ import annotations
 
+import dataclasses
+import threading
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from streamtable.errors import StreamtableError, TableKindError, TableNotFound
+from streamtable.errors import ConcurrentChange, DataTypeError, ShapeError, StreamtableError, TableKindError, TableNotFound
 from streamtable.frame import Frame
 from streamtable.functions import scalar
 from streamtable.plans import dialect, statements
 from streamtable.plans.registry import DEFAULT_CATALOG, DEFAULT_SCHEMA, Registry, new_id
 from streamtable.sources.store import Store
 from streamtable.sources.topic import Topic, View
-from streamtable.types import TopicInfo, dtype_of
+from streamtable.types import SHAPE_KEY, Config, DType, TableConfig, TopicInfo, dtype_of
 
 
-def open(spark: SparkSession, root: str, create: bool = False) -> "Datastore":  # noqa: A001
-    """Open the datastore at a path or URL; with create, make it if there is none."""
+def open(spark: SparkSession, root: str, create: bool = False, config: Config | None = None) -> "Datastore":  # noqa: A001
+    """Open the datastore at a path or URL; with create, make it if there is none. Config names catalogs and schemas that are there."""
     store = Store(spark, root)
     if not store.exists(store.path("datastore.json")):
         if not create:
             raise StreamtableError(f"there is no datastore at {root}")
         store.write_json(store.path("datastore.json"), {"format": 1})
-    return Datastore(spark, store)
+    config = config or Config()
+    ds = Datastore(spark, store, config=config)
+    if config.catalog != ds.catalog:
+        ds = ds.use_catalog(config.catalog)
+    return ds.use_schema(config.schema) if config.schema != ds.schema else ds
 
 
 class Query:
@@ -44,6 +50,29 @@ class Query:
         """One column. A name that several columns have is an error."""
         return Query(self.datastore, self.df.select(name if "." in name else f"`{name}`"))
 
+    def typed(self, name: str, dtype: DType | None = None, axes: int | None = None) -> "Query":
+        """One column, of a type and with a number of axes, the rows being the first; an error if it has others."""
+        one = self.col(name)
+        field = one.df.schema.fields[0]
+        if dtype is not None and dtype_of(field.dataType, field.metadata) != dtype:
+            raise DataTypeError(f"{name} is {dtype_of(field.dataType, field.metadata)}, not {dtype}")
+        have = 1 + (len(field.metadata.get(SHAPE_KEY) or [0]) if isinstance(field.dataType, T.ArrayType) else 0)
+        if axes is not None and have != axes:
+            raise ShapeError(f"{name} has {have} axes, not {axes}")
+        return one
+
+    def col1(self, name: str, dtype: DType | None = None) -> "Query":
+        return self.typed(name, dtype, 1)
+
+    def col2(self, name: str, dtype: DType | None = None) -> "Query":
+        return self.typed(name, dtype, 2)
+
+    def col3(self, name: str, dtype: DType | None = None) -> "Query":
+        return self.typed(name, dtype, 3)
+
+    def col_dyn(self, name: str, dtype: DType | None = None) -> "Query":
+        return self.typed(name, dtype)
+
     def execute(self) -> Frame:
         """The whole result on the driver."""
         return Frame.of(self.df)
@@ -112,8 +141,10 @@ class Tables:
 class Datastore:
     """A handle with its own default catalog and schema."""
 
-    def __init__(self, spark: SparkSession, store: Store, catalog: str = DEFAULT_CATALOG, schema: str = DEFAULT_SCHEMA, registry: Registry | None = None):
+    def __init__(self, spark: SparkSession, store: Store, catalog: str = DEFAULT_CATALOG, schema: str = DEFAULT_SCHEMA, registry: Registry | None = None, config: Config | None = None):
         self.spark = spark
+        self.config = config or Config()
+        self._maintenance: tuple[threading.Thread, threading.Event] | None = None
         # Views are bound here, out of the way of the caller's own.
         self.session = spark.newSession()
         self.session.conf.set("spark.sql.session.timeZone", "UTC")
@@ -131,7 +162,8 @@ class Datastore:
         self.shutdown()
 
     def shutdown(self) -> None:
-        """Write a snapshot of the registry. Everything published is durable without it."""
+        """End maintenance and write a snapshot of the registry. Everything published is durable without it."""
+        self.stop_maintenance()
         self.registry.snapshot()
 
     # Names
@@ -140,12 +172,12 @@ class Datastore:
         """A handle with another default catalog."""
         self.registry.refresh()
         self.registry.schema(catalog, DEFAULT_SCHEMA)
-        return Datastore(self.spark, self.registry.store, catalog, DEFAULT_SCHEMA, self.registry)
+        return Datastore(self.spark, self.registry.store, catalog, DEFAULT_SCHEMA, self.registry, self.config)
 
     def use_schema(self, schema: str) -> "Datastore":
         self.registry.refresh()
         self.registry.schema(self.catalog, schema)
-        return Datastore(self.spark, self.registry.store, self.catalog, schema, self.registry)
+        return Datastore(self.spark, self.registry.store, self.catalog, schema, self.registry, self.config)
 
     def resolve(self, name: str | tuple[str, ...]) -> tuple[str, str, str]:
         """A name of one to three parts with the defaults before it."""
@@ -166,6 +198,8 @@ class Datastore:
 
     def create_topic(self, name: str, info: TopicInfo, if_not_exists: bool = False, or_replace: bool = False) -> Topic:
         full = self.resolve(name)
+        if info.config == TableConfig():
+            info = dataclasses.replace(info, config=self.config.table)
         _, old = self.registry.create_table(full, {"kind": "topic", "topic": info.to_json(), "shards": []}, if_not_exists, or_replace)
         self._clear(old)
         return self._table(full)
@@ -282,6 +316,46 @@ class Datastore:
 
     # Maintenance
 
+    def start_maintenance(self, interval_s: float | None = None, older_than_s: float = 7 * 86400) -> None:
+        """Run maintain() again and again on a thread of the driver, until shutdown. One process of a datastore should do so."""
+        if self._maintenance is not None:
+            return
+        done = threading.Event()
+        pause = self.config.maintenance_interval_s if interval_s is None else interval_s
+
+        def run() -> None:
+            while not done.wait(pause):
+                try:
+                    self.maintain(older_than_s)
+                except ConcurrentChange:  # others were at it; the next run looks again
+                    continue
+                except Exception as e:
+                    self.maintenance_error = e
+
+        self.maintenance_error: Exception | None = None
+        thread = threading.Thread(target=run, name="streamtable-maintenance", daemon=True)
+        self._maintenance = thread, done
+        thread.start()
+
+    def stop_maintenance(self) -> None:
+        if self._maintenance is not None:
+            thread, done = self._maintenance
+            self._maintenance = None
+            done.set()
+            thread.join()
+
+    def metrics(self) -> DataFrame:
+        """A row for each topic: its shards, committed rows, and the rows and capacity of its open publishers' buffers."""
+        self.registry.refresh()
+        rows = []
+        for catalog, schemas in sorted(self.registry.catalogs.items()):
+            for schema, tables in sorted(schemas.items()):
+                for name, t in sorted(tables.items()):
+                    if t["kind"] == "topic":
+                        own = self.registry.publishers.get(t["id"], ())
+                        rows.append((catalog, schema, name, len(t["shards"]), sum(s["rows"] for s in t["shards"]), sum(map(len, own)), sum(p.buffer_rows for p in own)))
+        return self.session.createDataFrame(rows, "catalog string, schema string, topic string, shards int, rows long, held long, capacity long")
+
     def maintain(self, older_than_s: float = 7 * 86400) -> None:
         """Compact and vacuum every topic, and delete the data of tables that are gone. For a scheduled job."""
         self.registry.refresh()

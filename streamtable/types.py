@@ -114,6 +114,16 @@ class TableConfig:
     row_group_bytes: int = 128 << 20
 
 
+@dataclass(frozen=True)
+class Config:
+    """How a datastore is opened: the names that come before unqualified ones, sizes of new topics, seconds between maintenance runs."""
+
+    catalog: str = "main"
+    schema: str = "public"
+    table: TableConfig = TableConfig()
+    maintenance_interval_s: float = 30.0
+
+
 @dataclass(frozen=True)
 class TopicInfo:
     """A topic's fixed schema, declared order and sizes."""

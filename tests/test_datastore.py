@@ -394,3 +394,50 @@ def test_row_classes(store):
         pb.write(st.now(), Point(2, np.array([3.0, 4.0]), "x"))
     got = sorted(store.query("SELECT * FROM p").rows(Point), key=lambda p: p.k)
     assert [p.k for p in got] == [1, 2] and got[1].v.tolist() == [3.0, 4.0] and got[0].s is None
+
+
+def test_config_and_maintenance(store, spark):
+    import time
+
+    config = st.Config(schema="own", table=st.TableConfig(write_batch_rows=7), maintenance_interval_s=0.2)
+    store.create_schema("own")
+    ds = st.open(spark, store.registry.store.root, config=config)
+    assert ds.schema == "own" and ds.config is config and ds.use_schema("public").config is config
+    a = ds.create_topic("a", plain())
+    assert a.info.config.write_batch_rows == 7 and ds.resolve("a") == ("main", "own", "a")
+    for k in range(3):
+        ds.sql(f"INSERT INTO a SELECT timestamp'2024-01-01', {k}")
+    with a.publish() as pb:
+        pb.write(5)
+        assert tuple(ds.metrics().first()) == ("main", "own", "a", 3, 3, 1, 7)
+    ds.start_maintenance(older_than_s=0)
+    ds.start_maintenance()
+    for _ in range(200):
+        if len(a.shards()) == 1:
+            break
+        time.sleep(0.2)
+    ds.shutdown()
+    assert ds.maintenance_error is None and len(a.shards()) == 1 and a.read().count() == 4
+
+
+def test_typed_columns(store):
+    store.create_topic("a", info())
+    q = store.query("SELECT x, s FROM a")
+    assert q.col3("x", st.float32).execute().columns == ["x"] and q.col1("s", st.string).execute().nrows == 0 and q.col_dyn("x").df.columns == ["x"]
+    with pytest.raises(errors.ShapeError):
+        q.col2("x")
+    with pytest.raises(errors.DataTypeError):
+        q.col1("s", st.int64)
+    with pytest.raises(Exception):
+        q.col1("nothing")
+
+
+def test_prompt(store, spark, monkeypatch, capsys):
+    from streamtable import __main__ as prompt
+
+    lines = iter(["\\h", "SELECT id", "FROM range(5);", "SELECT nothing;", "\\q"])
+    monkeypatch.setattr("builtins.input", lambda _: next(lines))
+    monkeypatch.setattr(prompt, "SHOWN", 3)
+    assert prompt.main([store.registry.store.root]) == 0 and prompt.main([]) == 0
+    out = capsys.readouterr().out
+    assert "semicolon" in out and "only the first 3 rows" in out and "AnalysisException" in out
