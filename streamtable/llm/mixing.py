@@ -10,8 +10,9 @@ words come nearest to the target. The place is found in two histograms over the
 large, and reruns agree.
 
 Defined cases: a null text has size 0; null is a source of its own, last in order; a source of size 0 has target 0 and takes
-nothing; documents of size 0 are taken with the others by their hash and add no words; equal ids are drawn together; an empty
-table gives an empty result; other columns are carried by `mix` under their own names and can't clash.
+nothing; documents of size 0 are taken with the others by their hash and add no words; equal ids are drawn together, and so are ids
+with one draw of 24 bits; of a very long text only the number of its words is kept, so a source with such a text may miss its target
+by half of it; an empty table gives an empty result; other columns are carried by `mix` under their own names and can't clash.
 """
 
 from __future__ import annotations

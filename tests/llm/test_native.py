@@ -37,7 +37,7 @@ def test_against_sql(real, module):
     same(module.digest(real), module.oracle())
 
 
-@pytest.mark.parametrize("module", [quality_rules, line_dedup, hilbert])
+@pytest.mark.parametrize("module", [quality_rules, line_dedup, mixing, hilbert])
 def test_edge_cases_against_sql(spark, tmp_path, module):
     rows = [r for r in ROWS if r[0] is not None or module is not line_dedup]
     path = str(tmp_path / "d.parquet")
@@ -219,3 +219,15 @@ def test_shards(spark, real, tmp_path):
     hilbert.write(clashing(docs(spark)), str(tmp_path / "out"), 3)
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == len(ROWS) and set(clashing(docs(spark)).columns) < set(back.columns)
+
+
+def test_written_shards_are_pruned(spark, real, tmp_path):
+    """A filter on a dimension meets few shards: a shard holds a narrow range of each."""
+    hilbert.write(real, str(tmp_path / "out"), 24)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(map(tuple, back.select(real.columns).collect()), key=repr) == sorted(map(tuple, real.collect()), key=repr)
+    ranges = {r.shard_id: r for r in back.groupBy("shard_id").agg(F.min("source").alias("a"), F.max("source").alias("b"), F.min("lang").alias("c"), F.max("lang").alias("d")).collect()}
+    sources = [r.source for r in real.select("source").distinct().collect()]
+    met = sum(r.a is not None and r.a <= s <= r.b for s in sources if s is not None for r in ranges.values())
+    assert met <= 0.5 * len(ranges) * len(sources)
+    assert back.where(F.col("lang") == "de")._jdf.queryExecution().executedPlan().toString().count("EqualTo(lang,de)") == 1
