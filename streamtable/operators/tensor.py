@@ -31,6 +31,7 @@ class Tensor:
     def __init__(self, array: Column, shape: Sequence[int], dtype: DType, index: np.ndarray | None = None):
         self._array, self.shape, self.dtype = array, tuple(int(n) for n in shape), dtype
         self._index = index
+        self._hidden: Tensor | None = None  # what a mask was put on, in the order of the array
 
     def __repr__(self) -> str:
         return f"Tensor({self.dtype}, {self.shape})"
@@ -92,7 +93,9 @@ class Tensor:
         return (np.arange(self.size) if self._index is None else self._index).reshape(self.shape)
 
     def _gather(self, places: np.ndarray) -> "Tensor":
-        return Tensor(self._array, places.shape, self.dtype, places)
+        out = Tensor(self._array, places.shape, self.dtype, places)
+        out._hidden = self._hidden
+        return out
 
     def _axis(self, axis: int, room: int = 0) -> int:
         n = self.rank + room
@@ -377,7 +380,15 @@ class Tensor:
 
     def with_mask(self, mask: "Tensor") -> "Tensor":
         """Null where the mask is not true."""
-        return self._with(mask, lambda x, m: F.when(m, x), self.dtype)
+        out = self._with(mask, lambda x, m: F.when(m, x), self.dtype)
+        out._hidden = self.broadcast_to(out.shape)
+        return out
+
+    def drop_mask(self) -> "Tensor":
+        """The values as they were before with_mask(), after whatever changes of shape there were since."""
+        if self._hidden is None:
+            return self
+        return self._hidden._gather(self._hidden._places().ravel()[self._places()])
 
     def fill_masked(self, value) -> "Tensor":
         return self.map(lambda x: F.coalesce(x, F.lit(value)))

@@ -304,6 +304,7 @@ _tensor_query("t_mul_tensor", "e[i + 1]::DOUBLE * e[(i % 8) * 8 + i // 8 + 1]::D
 _tensor_query("t_broadcast", "e[i // 8 + 1]::DOUBLE - e[56 + i % 8 + 1]::DOUBLE FOR 64")(lambda t: (d := t.map(lambda x: x, streamtable.float64)).index_axis(0, 0).unsqueeze(-1) - d.index_axis(0, -1).unsqueeze(0))
 _tensor_query("t_compare", "(e[i + 1] > e[64 - i])::INT FOR 64", (64,))(lambda t: t.gt(t.invert_axis(0)).map(lambda x: x.cast("int"), streamtable.int32))
 _tensor_query("t_mask_fill", "CASE WHEN e[i + 1] > 0 THEN e[i + 1] ELSE -9 END FOR 64")(lambda t: t.with_mask(t.gt(0.0)).fill_masked(-9.0))
+_tensor_query("t_drop_mask", "e[(i % 8) * 8 + i // 8 + 1] FOR 64")(lambda t: t.with_mask(t.gt(0.0)).t().drop_mask())
 _tensor_query("t_slice", "e[(i // 3 + 2) * 8 + i % 3 * 2 + 1 + 1] FOR 9")(lambda t: t.slice(slice(2, 5), slice(1, 7, 2)))
 _tensor_query("t_slice_step_neg", "e[(6 - i // 8 * 2) * 8 + i % 8 + 1] FOR 24")(lambda t: t.slice_axis(0, 1, 7, -2))
 _tensor_query("t_swap_axes", "e[(i % 8) * 8 + i // 8 + 1] FOR 64")(lambda t: t.swap_axes(0, 1))

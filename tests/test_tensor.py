@@ -122,3 +122,15 @@ def test_wide_columns(spark):
     got = df.select(out.alias("w")).first().w
     assert got == np.arange(512).reshape(16, 32).T[::-1].ravel().tolist()
     assert df.select(out.alias("w")).schema["w"].metadata["tensor_shape"] == [32, 16]
+
+
+def test_drop_mask(spark):
+    """What a mask hides comes back, after changes of shape too, and for a mask that is broader than the tensor."""
+    df = spark.createDataFrame([([1, 2, 3, 4, 5, 6],)], "x array<int>")
+    t = tn.Tensor.of(df, "x", (2, 3))
+    masked = t.with_mask(t.gt(3))
+    first = lambda x: df.select(x.column()).first()[0]
+    assert first(masked) == [None, None, None, 4, 5, 6] and first(masked.drop_mask()) == [1, 2, 3, 4, 5, 6]
+    assert first(masked.t().slice_axis(0, 1, 3).drop_mask()) == [2, 5, 3, 6] and masked.t().drop_mask().shape == (3, 2)
+    wide = t.index_axis(0, 0).with_mask(t.gt(4))
+    assert first(wide) == [None, None, None, None, 2, 3] and first(wide.drop_mask()) == [1, 2, 3, 1, 2, 3] and first(t.drop_mask()) == first(t)
