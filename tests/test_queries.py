@@ -6,6 +6,7 @@ from decimal import Decimal
 import duckdb
 import pytest
 
+from streamtable import engine_queries as _  # noqa: F401
 from streamtable import queries
 from tests.conftest import DATA
 
