@@ -158,15 +158,14 @@ def digest(docs: DataFrame, policy: str = POLICY) -> DataFrame:
     )
 
 
-def stored_with_documents(docs: DataFrame, root: str | None = None) -> DataFrame:
-    """The stored ledger with each document beside its bits, as one struct `d`. So no join is needed and no name can clash."""
-    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("d"), F.col("text").alias("t0"))
-    return stored(packed, root, "d", "t0")
-
+def keep(docs: DataFrame, policy: str = POLICY) -> DataFrame:
+    """The documents that the policy keeps, with all their columns.
 
-def keep(docs: DataFrame, policy: str = POLICY, root: str | None = None) -> DataFrame:
-    """The documents that the policy keeps, with all their columns, from the stored ledger."""
-    return stored_with_documents(docs, root).where(verdict(policy)).select("d.*")
+    The ledger's columns are made beside the document as one struct, so no join is needed and no name can clash. They aren't stored
+    here, as that would store every document too; `stored` has the ledger alone.
+    """
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("d"), F.col("text").alias("t0"))
+    return ledger(packed, "d", "t0").where(verdict(policy)).select("d.*")
 
 
 def oracle() -> str:
@@ -194,4 +193,4 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fai
 FROM b"""
 
 
-__all__ = ["BASE", "BIT", "POLICIES", "POLICY", "RULES", "ablations", "digest", "keep", "ledger", "mask", "measure", "oracle", "stored", "stored_with_documents", "verdict"]
+__all__ = ["BASE", "BIT", "POLICIES", "POLICY", "RULES", "ablations", "digest", "keep", "ledger", "mask", "measure", "oracle", "stored", "verdict"]
