@@ -35,7 +35,7 @@ from itertools import combinations, count
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from streamtable.llm.common import LOWER, UPPER, map_arrow, stage, work_dir
@@ -213,6 +213,11 @@ def bucket_links(rows: DataFrame, *key: str, node: str = "fp", distance: int = D
             if t.num_rows:
                 keys = [np.asarray(t.column(c)) for c in key]
                 new = np.any([np.concatenate(([True], k[1:] != k[:-1])) for k in keys], axis=0)
+                # A row that has its bucket to itself has no links.
+                shared = ~(new & np.concatenate((new[1:], [True])))
+                t, new = t.filter(pa.array(shared)), new[shared]
+                if not t.num_rows:
+                    return
                 marks = np.frombuffer(b"".join(t.column(signature).to_pylist()), np.uint8).reshape(t.num_rows, -1) if signature else None
                 table = unpacked_rows(np.asarray(t.column("p0")), np.asarray(t.column("p1")))
                 i, j = links_in_order(np.cumsum(new), np.asarray(t.column("fp")).view(np.uint64), table, distance=distance, signatures=marks)
@@ -307,8 +312,7 @@ def components(edges: DataFrame, root: str) -> DataFrame:
     are staged tables, so that adaptive execution can split the links of a hub.
     """
     big, small = F.greatest("u", "v"), F.least("u", "v")
-    now = stage(edges.where("u <> v").select(big.alias("u"), small.alias("v")).distinct(), f"{root}/links-0")
-    mark = _mark(now)
+    now, mark = _marked(edges.where("u <> v").select(big.alias("u"), small.alias("v")).distinct(), f"{root}/links-0")
     for k in count(1):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = stage(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"{root}/large-least-{k}")
@@ -319,16 +323,17 @@ def components(edges: DataFrame, root: str) -> DataFrame:
         least = stage(large.groupBy("u").agg(F.min("v").alias("m")), f"{root}/small-least-{k}")
         rest = large.join(least, "u")
         now = rest.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        now = stage(now, f"{root}/links-{k}")
-        if (new := _mark(now)) == mark:
+        now, new = _marked(now, f"{root}/links-{k}")
+        if new == mark:
             return now.select(F.col("u").alias("node"), F.col("v").alias("top"))
         mark = new
 
 
-def _mark(edges: DataFrame) -> tuple:
-    """A count and an order-free checksum of the links."""
-    row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-    return tuple(row)
+def _marked(edges: DataFrame, path: str) -> tuple[DataFrame, dict]:
+    """The links, staged, with their number and an order-free checksum, taken as they are written."""
+    seen = Observation()
+    edges = edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("sum"))
+    return stage(edges, path), seen.get
 
 
 def classified(docs: DataFrame, words: int, root: str | None = None, crowd: int = CROWD) -> DataFrame:
@@ -425,14 +430,12 @@ def similar_links(texts: DataFrame, root: str, crowd: int = CROWD) -> DataFrame:
 
 def _loose_links(rows: DataFrame, path: str, crowd: int, *key: str) -> DataFrame:
     """Links within buckets. All of a bucket with more than `crowd` rows are linked to its smallest node, without any filter."""
-    shared = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")).where("n > 1")
-    shared = stage(shared, path)
-    calm = rows.join(shared.where(F.col("n") <= crowd).select(*key), [*key], "left_semi")
-    out = bucket_links(calm, *key, node="node", distance=FAR, signature="signature")
-    large = shared.where(F.col("n") > crowd)
-    if not large.isEmpty():
-        out = out.unionByName(rows.select("node", *key).join(large.select(*key, "least"), [*key]).where("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v")))
-    return out
+    large = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")).where(F.col("n") > crowd)
+    large = stage(large, path)
+    if large.isEmpty():
+        return bucket_links(rows, *key, node="node", distance=FAR, signature="signature")
+    out = bucket_links(rows.join(large.select(*key), [*key], "left_anti"), *key, node="node", distance=FAR, signature="signature")
+    return out.unionByName(rows.select("node", *key).join(large.select(*key, "least"), [*key]).where("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v")))
 
 
 def _pairs_of_parts(rows: DataFrame) -> DataFrame:
@@ -443,20 +446,18 @@ def _pairs_of_parts(rows: DataFrame) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, members: DataFrame, words: int, root: str) -> DataFrame:
-    """(node, top, size, hashes) and the sketch of each member: its set of shingle hashes, sorted. members: rows of (node, top, doc_id, text_hash, *sketch)."""
-    sketch = ["fp", "p0", "p1", "signature"]
+    """(node, top, size, hashes): the set of shingle hashes, sorted, of each member, rows of (node, top, doc_id, text_hash)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [np.unique(_shingle_hashes(x.as_py(), words)) for x in batch.column("text")]
-            names = ["node", "top", *sketch]
-            columns = [*(batch.column(c) for c in names), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*names, "size", "hashes"])
+            columns = [batch.column("node"), batch.column("top"), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "top", "size", "hashes"])
 
-    own = members.select("node", "top", *sketch, F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    own = members.select("node", "top", F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
     found = _texts(docs).join(own, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")))
-    found = found.groupBy("node").agg(*(F.first(c).alias(c) for c in ("top", *sketch, "text")))
-    return stage(map_arrow(found, run, "node bigint, top bigint, fp bigint, p0 bigint, p1 bigint, signature binary, size bigint, hashes binary"), f"{root}/sets")
+    found = found.groupBy("node").agg(F.first("top").alias("top"), F.first("text").alias("text"))
+    return stage(map_arrow(found, run, "node bigint, top bigint, size bigint, hashes binary"), f"{root}/sets")
 
 
 def set_forest(sets: list[np.ndarray], classes: list[int] | None = None) -> list[tuple[int, int]]:
@@ -521,8 +522,10 @@ def _needs(sets: DataFrame, crowd: int, path: str) -> DataFrame:
     return stage(sets.groupBy("top").agg(F.least(F.when(need > 1, F.ceil(need * 2)).otherwise(1), F.count(F.lit(1))).cast("long").alias("parts")), path)
 
 
-def exact_links(sets: DataFrame, root: str, crowd: int = CROWD) -> DataFrame:
-    """(u, v): links between nodes of one `top` that have the components of all its similar pairs, from shingle_sets()."""
+def exact_links(sets: DataFrame, sketch: DataFrame, root: str, crowd: int = CROWD) -> DataFrame:
+    """(u, v): links between nodes of one `top` that have the components of all its similar pairs, from shingle_sets() and each
+    node's (node, fp, p0, p1, signature).
+    """
     needs = _needs(sets, crowd, f"{root}/needs")
     large = needs.where("parts > 1")
     calm = sets.withColumn("class", F.col("node"))
@@ -534,7 +537,7 @@ def exact_links(sets: DataFrame, root: str, crowd: int = CROWD) -> DataFrame:
     # A hair more than 0.2, as these are quotients.
     edge = star.where("NOT near").groupBy("top").agg((F.min("far") - (1 - SIMILARITY) - 1e-9).alias("edge"))
     rest = star.join(stage(edge, f"{root}/edges"), ["top"]).where("NOT near OR far >= edge").select("node", F.when(F.col("near"), F.col("centre")).otherwise(F.col("node")).alias("class"))
-    rest = stage(sets.join(rest, ["node"]), f"{root}/rest")
+    rest = stage(sets.join(rest, ["node"]).join(sketch, ["node"]), f"{root}/rest")
     loose = components(_loose_links(stage(rare_keys(rest), f"{root}/rare-keys"), f"{root}/rare", crowd, "top", "key"), f"{root}/rare-loose")
     loose = stage(loose.unionByName(loose.select(F.col("top").alias("node"), "top").distinct()), f"{root}/rare-tops")
     again = rest.drop("top").join(loose, "node")
@@ -621,8 +624,8 @@ def similar_classes(docs: DataFrame, words: int = SHINGLE, root: str | None = No
     nodes = stage(nodes, f"{root}/nodes")
     loose = components(similar_links(nodes, root, crowd), f"{root}/loose")
     loose = loose.unionByName(loose.select(F.col("top").alias("node"), "top").distinct())
-    members = stage(nodes.select("node", "place.*", *sketch).join(loose, "node"), f"{root}/members")
-    exact = exact_links(shingle_sets(docs, members, words, root), root, crowd)
+    members = stage(nodes.select("node", "place.*").join(loose, "node"), f"{root}/members")
+    exact = exact_links(shingle_sets(docs, members, words, root), nodes.select("node", *sketch), root, crowd)
     found = components(exact, f"{root}/exact")
     return _with_component(rows.select("doc_id", "node"), nodes.select("node", "least_id"), found, "node", root).select("doc_id", "component_id")
 
@@ -631,6 +634,8 @@ def keep_one(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
     """docs without the near-duplicates: of each component the rows with its smallest id, all of them if several have that id.
     Documents without words or id stay, and so does every column under its own name.
     """
-    gone = similar_classes(docs, words).where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
+    root = work_dir(docs.sparkSession, "keep-one")
+    # Staged, so that its size is known: while it is small it is broadcast, and the texts aren't shuffled.
+    gone = stage(similar_classes(docs, words, root).where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct(), f"{root}/gone")
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("d"))
     return packed.join(gone, F.col("d.doc_id") == F.col("_id"), "left_anti").select("d.*")
