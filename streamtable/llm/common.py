@@ -74,6 +74,30 @@ def _nullable(df: DataFrame):
     return T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema.fields])
 
 
+#: Bits of a sieve: so many for each key, and so many at most. A sieve with too few bits lets more rows through, never fewer.
+SIEVE_BITS, MOST_SIEVE_BITS = 16, 1 << 27
+#: Bits in one of Spark's bitmaps.
+BITMAP_BITS = 1 << 15
+
+
+def sieved(df: DataFrame, hash: Column, keys: DataFrame, key_hash: Column, path: str) -> DataFrame:
+    """df with `_maybe`, true for each row whose hash a row of keys has and for few others, so that a join need not move the rest.
+
+    keys: a staged table. Its hashes set bits of bitmaps that are broadcast, 16 MB at most whatever the input. Hashes aren't null.
+    """
+    bits = BITMAP_BITS
+    while bits < min(MOST_SIEVE_BITS, SIEVE_BITS * keys.count()):
+        bits *= 2
+    place = lambda h: h.bitwiseAND(F.lit(bits - 1))
+    part = lambda h: F.shiftright(place(h), 15)
+    within = lambda h: h.bitwiseAND(F.lit(BITMAP_BITS - 1))
+    maps = stage(keys.groupBy(part(key_hash).alias("_part")).agg(F.bitmap_construct_agg(within(key_hash)).alias("_map")), path)
+    byte = F.substr(F.col("_map"), (F.shiftright(within(hash), 3) + 1).cast("int"), F.lit(1))
+    bit = F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), hash.bitwiseAND(F.lit(7)).cast("int")) == 1
+    found = df.join(F.broadcast(maps), part(hash) == F.col("_part"), "left")
+    return found.select(*(F.col(f"`{c}`") for c in df.columns), F.coalesce(bit, F.lit(False)).alias("_maybe"))
+
+
 def whole(text: Column) -> Column:
     """The text, where null is empty."""
     return F.coalesce(text, F.lit(""))

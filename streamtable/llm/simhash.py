@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from streamtable.llm.common import LOWER, UPPER, map_arrow, stage, work_dir
+from streamtable.llm.common import LOWER, UPPER, map_arrow, sieved, stage, work_dir
 from streamtable.operators.relational import salted_join
 
 SEED = 42
@@ -429,9 +429,14 @@ def similar_links(texts: DataFrame, root: str, crowd: int = CROWD) -> DataFrame:
 
 
 def _loose_links(rows: DataFrame, path: str, crowd: int, *key: str) -> DataFrame:
-    """Links within buckets. All of a bucket with more than `crowd` rows are linked to its smallest node, without any filter."""
-    large = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")).where(F.col("n") > crowd)
-    large = stage(large, path)
+    """Links within buckets. All of a bucket with more than `crowd` rows are linked to its smallest node, without any filter.
+
+    Most rows have their buckets to themselves; of these only the key and the node are moved.
+    """
+    shared = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")).where("n > 1")
+    shared = stage(shared, path)
+    rows = sieved(rows, F.xxhash64(*key), shared, F.xxhash64(*key), f"{path}-sieve").where("_maybe").drop("_maybe")
+    large = shared.where(F.col("n") > crowd)
     if large.isEmpty():
         return bucket_links(rows, *key, node="node", distance=FAR, signature="signature")
     out = bucket_links(rows.join(large.select(*key), [*key], "left_anti"), *key, node="node", distance=FAR, signature="signature")
@@ -455,7 +460,9 @@ def shingle_sets(docs: DataFrame, members: DataFrame, words: int, root: str) ->
             yield pa.RecordBatch.from_arrays(columns, names=["node", "top", "size", "hashes"])
 
     own = members.select("node", "top", F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-    found = _texts(docs).join(own, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")))
+    # Only texts that may be members' are moved.
+    texts = sieved(_texts(docs), F.xxhash64("doc_id", "text_hash"), own, F.xxhash64("_id", "_hash"), f"{root}/sets-sieve").where("_maybe")
+    found = texts.join(own, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")))
     found = found.groupBy("node").agg(F.first("top").alias("top"), F.first("text").alias("text"))
     return stage(map_arrow(found, run, "node bigint, top bigint, size bigint, hashes binary"), f"{root}/sets")
 
@@ -635,7 +642,9 @@ def keep_one(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
     Documents without words or id stay, and so does every column under its own name.
     """
     root = work_dir(docs.sparkSession, "keep-one")
-    # Staged, so that its size is known: while it is small it is broadcast, and the texts aren't shuffled.
     gone = stage(similar_classes(docs, words, root).where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct(), f"{root}/gone")
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("d"))
-    return packed.join(gone, F.col("d.doc_id") == F.col("_id"), "left_anti").select("d.*")
+    # Only rows whose ids may be gone are moved.
+    rows = sieved(packed, F.xxhash64(F.col("d.doc_id").cast("long")), gone, F.xxhash64("_id"), f"{root}/gone-sieve")
+    doubtful = rows.where("_maybe").join(gone, F.col("d.doc_id") == F.col("_id"), "left_anti")
+    return rows.where("NOT _maybe").union(doubtful).select("d.*")

@@ -34,3 +34,11 @@ def clashing(df):
     for name in ("size", "fp", "rank", "places", "kept", "w", "d", "key", "target", "_id", "length", "score"):
         df = df.withColumn(name, F.lit("x"))
     return df
+
+
+def shuffled(spark):
+    """Bytes that all stages so far have written for shuffles."""
+    context, jvm = spark.sparkContext, spark.sparkContext._jvm
+    context._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = context._jsc.sc().statusStore().stageList(None, False, False, context._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))

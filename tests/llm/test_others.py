@@ -13,11 +13,12 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as some
+from pyspark.sql import functions as F
 
 from streamtable.llm import html_text, media, simhash, toxicity
-from streamtable.llm.common import work_dir
+from streamtable.llm.common import sieved, stage, work_dir
 from tests.conftest import DATA
-from tests.llm.fixtures import ROWS, clashing, docs
+from tests.llm.fixtures import ROWS, clashing, docs, shuffled
 
 
 def brute_fingerprint(t, words=4):
@@ -185,6 +186,33 @@ def test_recall_of_similar_texts(spark):
         assert len(pairs) > 5 and sum(got[i] == got[j] for i, j in pairs) >= 0.9 * len(pairs)
 
 
+def test_texts_that_stay_are_not_moved(spark):
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"{x:08x}" for x in rng.integers(1 << 32, size=4000)) for _ in range(60)]
+    rows = [(k, x) for k, x in enumerate([*texts, texts[0] + " more"])] + [(None, texts[1])]
+    df = stage(spark.createDataFrame(rows, "doc_id long, text string"), work_dir(spark, "test"))
+    before, threshold = shuffled(spark), "spark.sql.autoBroadcastJoinThreshold"
+    spark.conf.set(threshold, "-1")
+    try:
+        got = [r.doc_id for r in simhash.keep_one(df).collect()]
+    finally:
+        spark.conf.unset(threshold)
+    assert sorted(x for x in got if x is not None) == list(range(60)) and got.count(None) == 1
+    assert shuffled(spark) - before < 0.5 * sum(map(len, texts))
+
+
+@pytest.mark.parametrize("most", [1 << 15, 1 << 17])
+def test_sieve_lets_all_keys_through(spark, monkeypatch, most):
+    monkeypatch.setattr("streamtable.llm.common.MOST_SIEVE_BITS", most)
+    root = work_dir(spark, "test")
+    keys = stage(spark.range(0, 60_000, 6).select("id"), f"{root}/keys")
+    hashed = lambda: F.xxhash64("id")
+    got = {r.id: r._maybe for r in sieved(spark.range(60_000), hashed(), keys, hashed(), f"{root}/sieve").collect()}
+    bits = {xxhash.xxh64_intdigest(struct.pack("<q", k), 42) % most for k in range(0, 60_000, 6)}
+    assert got == {k: xxhash.xxh64_intdigest(struct.pack("<q", k), 42) % most in bits for k in range(60_000)}
+    assert not any(r._maybe for r in sieved(spark.range(9), hashed(), keys.where("id < 0"), hashed(), f"{root}/none").collect())
+
+
 # Toxicity
 
 
