@@ -325,7 +325,7 @@ _tensor_query("t_compare_all", "(e[i + 1] <> e[64 - i])::INT + 2 * (e[i + 1] >=
 )
 _tensor_query("t_atan2", "atan2(e[i + 1]::DOUBLE, e[64 - i]::DOUBLE) FOR 64", (64,))(lambda t: (d := t.map(lambda x: x, streamtable.float64)).atan2(d.invert_axis(0)))
 _tensor_query("t_bits", "xor((e[i + 1] > 0)::INT, 1) & 3 | 4 FOR 64")(lambda t: (t.gt(0.0).map(lambda x: x.cast("int"), streamtable.int32) ^ 1) & 3 | 4)
-_tensor_query("t_divide", "CASE WHEN i = 0 THEN 'inf'::DOUBLE ELSE 1.0 / i END FOR 64", (64,))(lambda t: 1.0 / (t * 0.0 + tn.arange(0.0, 64.0)).abs())
+_tensor_query("t_divide", "CASE WHEN i = 0 THEN 'inf'::DOUBLE ELSE 1.0 / i END FOR 64", (64,))(lambda t: 1.0 / (t.map(lambda x: F.lit(0.0), streamtable.float64) + tn.arange(0.0, 64.0)).abs())
 _tensor_query("t_int_divide", "trunc((i - 32) / 5.0) + ((i - 32) - trunc((i - 32) / 5.0) * 5) FOR 64", (64,))(lambda t: (n := t.map(lambda x: F.lit(0), int64) + tn.arange(0, 64) - 32) / 5 + n % 5)
 _tensor_query("t_linspace", "i * 0.25 FOR 40", (64,))(lambda t: tn.linspace(0, 10, 40))
 _tensor_query("t_range", "3 + 2 * i FOR 4", (64,))(lambda t: tn.arange(3, 10, 2))

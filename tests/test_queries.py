@@ -48,3 +48,14 @@ def test_pushdown(spark):
     assert "ReadSchema: struct<event_id:bigint,user_id:bigint,event_type:string>" in plan
     plan = queries.QUERIES["filter_predicates"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [Or(" in plan
+
+
+def test_divide_takes_nothing_from_the_elements(spark, tmp_path):
+    """Its SQL reads none, so NaN, infinities, nulls and zeros below zero don't show in its quotients."""
+    odd = [float("nan"), float("inf"), float("-inf"), None, -0.0, 1.0, -2.5, 0.0]
+    df = spark.createDataFrame([(1, odd * 8), (2, [None] * 64), (3, [0.5] * 64)], "vec_id long, embedding array<float>")
+    df.write.parquet(str(tmp_path / "embeddings.parquet"))
+    result = duckdb.execute(queries.ORACLES["t_divide"].replace("embeddings", f"'{tmp_path}/embeddings.parquet/*.parquet'"))
+    columns = [d[0] for d in result.description]
+    got = queries.QUERIES["t_divide"](spark, str(tmp_path))
+    assert rows(got.columns, got.collect()) == rows(columns, result.fetchall())
