@@ -170,13 +170,19 @@ class Topic:
     # Maintenance
 
     def compact(self) -> int:
-        """Merge shards with fewer rows than the minimum, up to the target size each; returns how many were replaced."""
-        small = [s for s in self.shards() if s["rows"] < self.info.config.min_shard_rows]
+        """Merge shards below the target size, each time until they reach it; returns how many were replaced.
+
+        Smallest first. A shard from the minimum on is left until smaller ones have half its rows together: so each writing makes
+        the shard of a row larger by half at least, however often something small is appended.
+        """
+        config = self.info.config
+        below = sorted((s for s in self.shards() if s["rows"] < config.target_shard_rows), key=lambda s: s["rows"])
         live = set(self.registry.store.names(f"{self.root}/live"))
         groups: list[list[dict]] = []
         size = 0
-        for s in small:
-            if not groups or size + s["rows"] > self.info.config.target_shard_rows:
+        for s in below:
+            early = s["rows"] >= config.min_shard_rows and 2 * size < s["rows"]
+            if not groups or size >= config.target_shard_rows or early:
                 groups.append([])
                 size = 0
             groups[-1].append(s)

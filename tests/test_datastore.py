@@ -339,6 +339,26 @@ def test_streams_see_each_row_once(store, spark):
     assert only_new.isStreaming
 
 
+def test_shards_from_the_minimum_on_are_merged(store, spark):
+    """Up to the target; one that is far larger than the others waits for more of them."""
+    a = store.create_topic("a", st.topic(st.column("k", st.int64), config=st.TableConfig(min_shard_rows=2, target_shard_rows=20)))
+    put = lambda *k: a.append(spark.createDataFrame([(dt.datetime(2024, 1, 1), x) for x in k], "time timestamp, k long"))
+    sizes = lambda: sorted(s["rows"] for s in a.shards())
+    for k in range(3):
+        put(*range(3 * k, 3 * k + 3))
+    store.maintain(0)
+    assert sizes() == [9] and tuple(store.metrics().select("rows", "shards").first()) == (9, 1)
+    put(9)
+    assert a.compact() == 0 and sizes() == [1, 9]
+    put(*range(10, 15))
+    assert a.compact() == 2 and sizes() == [1, 14]
+    put(*range(15, 27))
+    assert a.compact() == 2 and sizes() == [1, 26]
+    put(27)
+    assert a.compact() == 2 and sizes() == [2, 26] and len(a.vacuum(0)) == 6
+    assert sorted(r.k for r in a.read().collect()) == list(range(28))
+
+
 def test_append_stream_and_temporary(store, spark):
     a = store.create_topic("a", plain())
     store.sql("INSERT INTO a SELECT timestamp'2024-01-01', 1")
