@@ -488,11 +488,9 @@ def information_schema(spark, sf_dir):
     return ds.sql("SELECT table_name, table_type FROM information_schema.tables")
 
 
-def _streamed(spark, sf_dir, build, mode: str) -> DataFrame:
+def _streamed(spark, sf_dir, build) -> DataFrame:
     ds, t = _filled(spark, sf_dir)
-    root = ds.registry.store.path("check")
-    name = f"out_{t.id}"
-    return live.run_available(build(t.subscribe()), name, root, mode)
+    return live.run_complete(build(t.subscribe()), ds.registry.store.path("out"), ds.registry.store.path("check"))
 
 
 @_query("stream_available_now", "SELECT epoch_us(ts) AS t, event_id FROM events WHERE event_type = 'click'")
@@ -504,13 +502,13 @@ def stream_available_now(spark, sf_dir):
 
 @_query("stream_tumbling", _DAY)
 def stream_tumbling(spark, sf_dir):
-    return _streamed(spark, sf_dir, _by_day, "complete")
+    return _streamed(spark, sf_dir, _by_day)
 
 
 @_query("stream_sliding", "SELECT epoch_us(w) AS w, count(*) AS n FROM (SELECT time_bucket(INTERVAL 1 DAY, ts) - k * INTERVAL 1 DAY AS w FROM events, (SELECT unnest(range(2)) AS k)) GROUP BY w")
 def stream_sliding(spark, sf_dir):
     build = lambda s: live.windowed(s, "time", "2 days", {"n": F.count(F.lit(1))}, slide="1 day").select(F.unix_micros("window_start").alias("w"), "n")
-    return _streamed(spark, sf_dir, build, "complete")
+    return _streamed(spark, sf_dir, build)
 
 
 @_query(
@@ -519,7 +517,7 @@ def stream_sliding(spark, sf_dir):
 )
 def stream_session(spark, sf_dir):
     build = lambda s: live.sessions(s, "time", "6 hours", {"n": F.count(F.lit(1))}, ["user_id"]).select("user_id", F.unix_micros("session_start").alias("session_start"), "n")
-    return _streamed(spark, sf_dir, build, "complete")
+    return _streamed(spark, sf_dir, build)
 
 
 

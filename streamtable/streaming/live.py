@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from streamtable.sources.store import Store
+
 
 def with_watermark(stream: DataFrame, time: str, late: str) -> DataFrame:
     """Rows that come later than `late` behind the newest time are left out of windows that are closed."""
@@ -51,3 +53,23 @@ def run_to_parquet(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
     """Process what is there into Parquet files, exactly once, and read them."""
     stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
+
+
+def run_complete(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Process what is there in complete mode, and read the whole result from Parquet files; no row of it goes to the driver.
+
+    Each batch writes a folder of its number, in place of what a failed run may have left there; the result before stays for those
+    who read it now, and older ones or another checkpoint's are removed.
+    """
+    store = Store(stream.sparkSession, path)
+
+    def batch(df: DataFrame, number: int) -> None:
+        kept = [f"{k:020d}" for k in (number - 1, number)]
+        df.write.mode("overwrite").parquet(store.path(kept[-1]))
+        for name in set(store.names(store.root)) - set(kept):
+            store.delete(store.path(name))
+
+    stream.writeStream.outputMode("complete").foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    found = store.names(store.root)
+    read = stream.sparkSession.read.schema(stream.schema)
+    return read.parquet(store.path(found[-1])) if found else stream.sparkSession.createDataFrame([], stream.schema)

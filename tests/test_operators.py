@@ -3,9 +3,11 @@ import math
 
 from pyspark.sql import functions as F
 
+from streamtable import queries
 from streamtable.functions import scalar
 from streamtable.operators import relational
 from streamtable.streaming import live
+from tests.conftest import DATA
 
 
 def test_asof(spark):
@@ -78,3 +80,34 @@ def test_stream_windows_match_batch(spark, tmp_path):
     assert joined.columns == ["k", "t", "v", "right_t", "right_v"]
     got = live.run_to_parquet(joined, str(tmp_path / "o3"), str(tmp_path / "c3"))
     assert sorted((r.k, r.v, r.right_v) for r in got.collect()) == sorted((k, v, v) for k, _, v in rows)
+
+
+def test_complete_results_stay_off_the_driver(spark, tmp_path):
+    """Batch by batch, again from a checkpoint with and without new rows, and over what a failed run has left."""
+    schema, root = "k string, t timestamp, v int", str(tmp_path / "in")
+    rows = [("a", dt.datetime(2024, 1, 1, 0, m), m) for m in range(0, 60, 7)] + [("b", dt.datetime(2024, 1, 1, 3), 1)]
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(root)
+    gaps = lambda d: live.sessions(d, "t", "10 minutes", {"n": F.count(F.lit(1))}, ["k"])
+    out, put = tmp_path / "out", lambda x: spark.createDataFrame(x, schema).coalesce(1).write.mode("append").parquet(root)
+
+    def run(check="check"):
+        got = live.run_complete(gaps(stream), str(out), str(tmp_path / check))
+        return got, sorted(map(tuple, got.collect()))
+
+    assert run()[1] == []
+    for k in range(3):
+        put(rows[k::3])
+    got, found = run()
+    assert found == run()[1] == sorted(map(tuple, gaps(spark.createDataFrame(rows, schema)).collect())) and got.inputFiles()
+    assert len(list(out.iterdir())) == 2
+    (out / f"{3:020d}").mkdir()
+    (out / f"{3:020d}" / "part-left.parquet").write_text("half")
+    put([("b", dt.datetime(2024, 1, 1, 3, 5), 2)])
+    more = sorted(map(tuple, gaps(spark.createDataFrame([*rows, ("b", dt.datetime(2024, 1, 1, 3, 5), 2)], schema)).collect()))
+    assert run()[1] == more and run("another")[1] == more
+
+
+def test_registered_streams_keep_no_result_on_the_driver(spark):
+    for name in ("stream_session", "stream_sliding", "stream_tumbling"):
+        assert queries.QUERIES[name](spark, DATA).inputFiles(), name
